@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boardpulse.functions.text import is_blank
 from boardpulse.sources import schemas
@@ -28,8 +30,17 @@ def event_time(frame: DataFrame, column: str = "ts") -> DataFrame:
 
 
 def seed_rows(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
-    """A hand-written row list as a table; for files use :func:`read_table`."""
-    return spark.createDataFrame(list(rows), schema)
+    """A hand-written row list as a table; for files use :func:`read_table`.
+
+    Arrow columns become a local relation of known size. A plain row list would go
+    through Python workers and hide its size from the planner.
+    """
+    listed = list(rows)
+    columns = [
+        pa.array([row[place] for row in listed], type=to_arrow_type(field.dataType))
+        for place, field in enumerate(schema.fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
 
 
 def split_by_required(frame: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, within_instants
+from boardpulse.sources import schemas
+from boardpulse.sources.feeds import seed_rows
 from boardpulse.sources.tables import Tables
 from boardpulse.streaming.rollup import LOGIN_PORTAL, roll_up
 
@@ -73,9 +75,7 @@ def user_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(number, name, None) for number, name in TYPES], "id long, name string, description string"
-    )
+    return seed_rows(spark, [(number, name, None) for number, name in TYPES], schemas.DASHBOARD_TYPES)
 
 
 def dashboard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
