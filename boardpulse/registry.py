@@ -341,6 +341,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testbed.read(spark, sf_dir, "customer").join(nations, "c_nationkey")
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testbed.users(testbed.read(spark, sf_dir, "customer"))
+
+
 def position_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer sets the flag of their nation (known) and of their segment (new)."""
     return customers(spark, sf_dir).select(
@@ -352,7 +356,7 @@ def position_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upserted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert(
-        testbed.positions(spark, sf_dir), position_changes(spark, sf_dir), ["name"], ["seq"], "id"
+        testbed.positions(testbed.read(spark, sf_dir, "nation")), position_changes(spark, sf_dir), ["name"], ["seq"], "id"
     )
 
 
@@ -375,7 +379,7 @@ def upsert_users(spark, sf_dir):
         F.lower("c_name").alias("username"), F.col("c_name").alias("name"), F.lit("admin").alias("role")
     )
     return changes.upsert(
-        testbed.users(spark, sf_dir), added.unionByName(changed), ["username"], id_column="id"
+        users(spark, sf_dir), added.unionByName(changed), ["username"], id_column="id"
     )
 
 
@@ -389,7 +393,7 @@ def update_users(spark, sf_dir):
         F.lower("s_name").alias("username"), F.lit("nobody@new.example").alias("email")
     )
     latest = changes.latest_changes(moved.unionByName(unknown), ["username"], [])
-    return changes.update_by_key(testbed.users(spark, sf_dir), latest, ["username"])
+    return changes.update_by_key(users(spark, sf_dir), latest, ["username"])
 
 
 def assignment(spark: SparkSession, sf_dir: str) -> changes.Assignment:
@@ -432,7 +436,7 @@ def replace_assignments(spark, sf_dir):
         .where((F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "BUILDING"))
         .select(F.col("c_custkey").alias("user_id"), F.explode(given).alias("position_id"))
     )
-    return changes.replace_assignments(testbed.user_positions(spark, sf_dir), asked)
+    return changes.replace_assignments(testbed.user_positions(testbed.read(spark, sf_dir, "customer")), asked)
 
 
 def purged(spark: SparkSession, sf_dir: str) -> Tables:
@@ -508,7 +512,7 @@ def integrity_audit(spark, sf_dir):
 @query
 def drop_legacy(spark, sf_dir):
     """Users in the older layout, with one position in the row, brought to the new one."""
-    legacy = testbed.users(spark, sf_dir).join(
+    legacy = users(spark, sf_dir).join(
         testbed.read(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("position_id")
         ),
@@ -520,9 +524,9 @@ def drop_legacy(spark, sf_dir):
 @query
 def credentials_ready(spark, sf_dir):
     """Users with everything needed to be written to."""
-    return split_by_required(testbed.users(spark, sf_dir), ["username", "name", "email"])[0]
+    return split_by_required(users(spark, sf_dir), ["username", "name", "email"])[0]
 
 
 @query
 def credentials_rejected(spark, sf_dir):
-    return split_by_required(testbed.users(spark, sf_dir), ["username", "name", "email"])[1]
+    return split_by_required(users(spark, sf_dir), ["username", "name", "email"])[1]

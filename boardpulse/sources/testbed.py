@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, within_instants
 from boardpulse.sources import schemas
@@ -21,8 +22,15 @@ TYPES = [(1, "Ventas"), (2, "Stock"), (3, "Finanzas"), (4, "Admin")]
 PAGE_TYPES = [("click", 1), ("view", 1), ("view", 2), ("purchase", 3), ("error", 4)]
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; its schema is looked up in the file once and then reused."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def page_url(event_type="event_type"):
@@ -46,9 +54,9 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts")
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def users(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(
+    return customer.select(
         key.alias("id"),
         F.lower("c_name").alias("username"),
         F.col("c_name").alias("name"),
@@ -57,18 +65,18 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(
+def positions(nation: DataFrame) -> DataFrame:
+    return nation.select(
         F.col("n_nationkey").cast("long").alias("id"),
         F.col("n_name").alias("name"),
         (F.col("n_regionkey") == 0).alias("can_view_metrics"),
     )
 
 
-def user_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_positions(customer: DataFrame) -> DataFrame:
     key, home = F.col("c_custkey"), F.col("c_nationkey").cast("long")
     held = F.array(F.when(key % 10 != 9, home), F.when(key % 3 == 0, (home + 7) % 25))
-    return read(spark, sf_dir, "customer").select(
+    return customer.select(
         key.alias("user_id"),
         F.explode(F.filter(held, lambda position: position.isNotNull())).alias("position_id"),
     )
@@ -78,7 +86,7 @@ def dashboard_types(spark: SparkSession) -> DataFrame:
     return seed_rows(spark, [(number, name, None) for number, name in TYPES], schemas.DASHBOARD_TYPES)
 
 
-def dashboard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dashboard_links(nation: DataFrame) -> DataFrame:
     """Links numbered by position, type and url.
 
     The pattern repeats every three positions with 4, 4 and 2 links, so the running
@@ -92,8 +100,7 @@ def dashboard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.filter(pages, lambda page: (position + page["type"]) % 3 != 0)
     before = F.floor(position / 3) * 10 + (position % 3) * 4
     return (
-        read(spark, sf_dir, "nation")
-        .select(position.alias("position_id"), before.alias("before"), F.posexplode(shown))
+        nation.select(position.alias("position_id"), before.alias("before"), F.posexplode(shown))
         .select(
             (F.col("before") + F.col("pos") + 1).cast("long").alias("id"),
             "position_id",
@@ -105,11 +112,12 @@ def dashboard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, zone: str = LOCAL_ZONE) -> Tables:
     """The whole domain model, sessions rolled up from the wanted part of the feed."""
+    customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     return Tables(
-        users=users(spark, sf_dir),
-        positions=positions(spark, sf_dir),
-        user_positions=user_positions(spark, sf_dir),
+        users=users(customer),
+        positions=positions(nation),
+        user_positions=user_positions(customer),
         dashboard_types=dashboard_types(spark),
-        dashboard_links=dashboard_links(spark, sf_dir),
+        dashboard_links=dashboard_links(nation),
         session_source=lambda ranges: roll_up(pings(spark, sf_dir, ranges), zone),
     )

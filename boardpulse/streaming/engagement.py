@@ -27,29 +27,25 @@ def engaged_ticks(
     the user away from the open one and earns nothing. The tick at g belongs to the
     latest activity in [g - idle, g).
 
-    Only the last activity of a grid cell can earn a tick, so activity is first reduced
-    to one row per user and cell, before the shuffle. What the window then sorts per user
-    is bounded by the clock (2,880 cells a day), not by how much a user clicks.
+    Activity is first reduced to its last instant per user, page and grid cell, before
+    the shuffle. What the window then sorts per user is bounded by the clock (2,880 cells
+    a day) and the pages open in one cell, not by how much a user clicks.
     """
     _check(idle_seconds, tick_seconds)
     tick = F.expr(f"INTERVAL {tick_seconds} SECONDS")
     cells = (
         activity.where(F.col("user_id").isNotNull())
-        .groupBy("user_id", F.window("ts", f"{tick_seconds} seconds").alias("cell"))
-        .agg(F.max(F.struct("ts", "dashboard_url"))["dashboard_url"].alias("dashboard_url"))
-        .select("user_id", "dashboard_url", F.col("cell.start").alias("cell"))
+        .select("*", F.window("ts", f"{tick_seconds} seconds")["start"].alias("cell"))
+        .groupBy("user_id", "dashboard_url", "cell")
+        .agg(F.max("ts").alias("last"))
     )
-    following = F.lead("cell").over(Window.partitionBy("user_id").orderBy("cell"))
+    by_time = Window.partitionBy("user_id").orderBy("last", F.asc_nulls_first("dashboard_url"))
     limit = F.col("cell") + F.expr(f"INTERVAL {idle_seconds} SECONDS")
-    return (
-        cells.withColumn("until", F.least(following, limit))
-        .where(F.col("dashboard_url").isNotNull())
-        .select(
-            "user_id",
-            "dashboard_url",
-            F.explode(F.sequence(F.col("cell") + tick, F.col("until"), tick)).alias("ts"),
-        )
+    credited = cells.withColumn("until", F.least(F.lead("cell").over(by_time), limit)).where(
+        F.col("dashboard_url").isNotNull() & (F.col("until") > F.col("cell"))
     )
+    ticks = F.sequence(F.col("cell") + tick, F.col("until"), tick)
+    return credited.select("user_id", "dashboard_url", F.explode(ticks).alias("ts"))
 
 
 def engaged_ticks_stream(
@@ -79,8 +75,10 @@ def idle_sessions(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataF
     are reduced to extremes and counts before the shuffle; cuts are then looked for
     between cells only.
     """
-    cells = activity.groupBy("user_id", F.window("ts", f"{gap_seconds} seconds").alias("cell")).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")
+    cells = (
+        activity.select("*", F.window("ts", f"{gap_seconds} seconds")["start"].alias("cell"))
+        .groupBy("user_id", "cell")
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
     )
     by_time = Window.partitionBy("user_id").orderBy("first")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
