@@ -441,7 +441,8 @@ ORACLE: dict[str, str] = {
         """SELECT user_id, dashboard_url, session_date, id, start_time, last_ping, duration_minutes
            FROM sessions WHERE dashboard_url = 'LOGIN_PORTAL'"""
     ),
-    "engaged_ticks": f"WITH {ACTIVITY} {TICKS_BY_DAY}",
+    "engaged_ticks": f"WITH {ACTIVITY} SELECT * FROM ticks",
+    "engaged_sessions": f"WITH {ACTIVITY} {TICKS_BY_DAY}",
     "idle_sessions": f"WITH {islands('6 HOUR')} SELECT * FROM stays",
     "idle_sessions_five_minutes": f"WITH {islands('5 MINUTE')} SELECT * FROM stays",
     "rate_breaches": f"WITH {BREACHES} SELECT * FROM breaches",

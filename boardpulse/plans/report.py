@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,9 @@ class UsageReport:
         self.params = params or ReportParams()
         self.as_of = as_of or today_in()
         self.period = self.params.period(self.as_of)
-        self._pinned: DataFrame | None = None
+        self._pinned_users: DataFrame | None = None
+        self._pinned_days: DataFrame | None = None
+        self._shared: UsageReport | None = None
 
     # -- ranges ---------------------------------------------------------------
 
@@ -71,8 +72,8 @@ class UsageReport:
         ``active`` for the 30-day flag. User-level filters can wait until here, where
         there is one row per user to test.
         """
-        if self._pinned is not None:
-            return self._pinned
+        if self._pinned_users is not None:
+            return self._pinned_users
         compared = {"cur": self.period, "prev": self.previous}
         ranges = [compared[prefix].as_range() for prefix in base]
         if totals and "cur" not in base:
@@ -119,13 +120,11 @@ class UsageReport:
 
     def _per_url_day(self) -> DataFrame:
         """Sessions of the period per URL and day, small enough to join freely."""
+        if self._pinned_days is not None:
+            return self._pinned_days
         facts = self._without_admins(self.tables.sessions(self.period.as_range()))
         return facts.groupBy("dashboard_url", "session_date").agg(F.count("id").alias("sessions"))
 
-    @cached_property
-    def _everything_per_user(self) -> DataFrame:
-        return pin(self._per_user(("cur", "prev"), totals=True, active=True))
-
     # -- base KPIs ----------------------------------------------------------------
 
     @staticmethod
@@ -285,12 +284,18 @@ class UsageReport:
     # -- whole report -------------------------------------------------------------------
 
     def shared(self) -> UsageReport:
-        """The same report with its per-user reduction computed once and kept."""
-        if self._pinned is not None:
+        """The same report with both reductions computed once and kept.
+
+        The facts are then read twice in all, whatever the number of sections.
+        """
+        if self._pinned_users is not None:
             return self
-        report = UsageReport(self.tables, self.params, self.as_of)
-        report._pinned = self._everything_per_user
-        return report
+        if self._shared is None:
+            report = UsageReport(self.tables, self.params, self.as_of)
+            report._pinned_users = pin(self._per_user(("cur", "prev"), totals=True, active=True))
+            report._pinned_days = pin(self._per_url_day())
+            self._shared = report
+        return self._shared
 
     def kpis(self) -> DataFrame:
         """All KPIs in one row."""

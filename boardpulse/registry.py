@@ -279,7 +279,12 @@ def login_rollup(spark, sf_dir):
 
 @query
 def engaged_ticks(spark, sf_dir):
-    return rollup.roll_up(engagement.engaged_ticks(activity(testbed.read(spark, sf_dir, "events"))))
+    return engagement.engaged_ticks(activity(testbed.read(spark, sf_dir, "events")))
+
+
+@query
+def engaged_sessions(spark, sf_dir):
+    return engagement.engaged_sessions(activity(testbed.read(spark, sf_dir, "events")))
 
 
 @query

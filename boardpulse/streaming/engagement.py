@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boardpulse.functions.calendar import LOCAL_ZONE, local_day
 from boardpulse.sources.feeds import event_time
+from boardpulse.streaming.rollup import merge_partials
 
 # Seconds between two heartbeats, and seconds without activity that end credit.
 TICK_SECONDS = 30
@@ -31,8 +33,44 @@ def engaged_ticks(
     the shuffle. What the window then sorts per user is bounded by the clock (2,880 cells
     a day) and the pages open in one cell, not by how much a user clicks.
     """
+    tick = _interval(tick_seconds)
+    ticks = F.sequence(F.col("cell") + tick, F.col("until"), tick)
+    runs = _credited_runs(activity, idle_seconds, tick_seconds)
+    return runs.select("user_id", "dashboard_url", F.explode(ticks).alias("ts"))
+
+
+def engaged_sessions(
+    activity: DataFrame,
+    zone: str = LOCAL_ZONE,
+    idle_seconds: int = IDLE_SECONDS,
+    tick_seconds: int = TICK_SECONDS,
+) -> DataFrame:
+    """Sessions those ticks add up to, without listing every tick.
+
+    A run of ticks within one local day is counted by its length; only the few runs that
+    pass midnight are taken apart.
+    """
+    tick = _interval(tick_seconds)
+    runs = _credited_runs(activity, idle_seconds, tick_seconds).withColumn("first", F.col("cell") + tick)
+    whole = local_day(runs, "first", zone) == local_day(runs, "until", zone)
+    starts = F.when(whole, F.array("first")).otherwise(F.sequence(F.col("first"), F.col("until"), tick))
+    pieces = runs.select("*", whole.alias("whole"), F.explode(starts).alias("start_time"))
+    length = (F.col("until") - F.col("cell")).cast("long") / tick_seconds
+    return merge_partials(
+        pieces.select(
+            "user_id",
+            "dashboard_url",
+            local_day(pieces, "start_time", zone).alias("session_date"),
+            "start_time",
+            F.when(F.col("whole"), F.col("until")).otherwise(F.col("start_time")).alias("last_ping"),
+            F.when(F.col("whole"), length.cast("long")).otherwise(1).alias("duration_minutes"),
+        )
+    )
+
+
+def _credited_runs(activity: DataFrame, idle_seconds: int, tick_seconds: int) -> DataFrame:
+    """Grid cells with the page last used in them and how far its credit reaches."""
     _check(idle_seconds, tick_seconds)
-    tick = F.expr(f"INTERVAL {tick_seconds} SECONDS")
     cells = (
         activity.where(F.col("user_id").isNotNull())
         .select("*", F.window("ts", f"{tick_seconds} seconds")["start"].alias("cell"))
@@ -40,12 +78,14 @@ def engaged_ticks(
         .agg(F.max("ts").alias("last"))
     )
     by_time = Window.partitionBy("user_id").orderBy("last", F.asc_nulls_first("dashboard_url"))
-    limit = F.col("cell") + F.expr(f"INTERVAL {idle_seconds} SECONDS")
-    credited = cells.withColumn("until", F.least(F.lead("cell").over(by_time), limit)).where(
+    limit = F.col("cell") + _interval(idle_seconds)
+    return cells.withColumn("until", F.least(F.lead("cell").over(by_time), limit)).where(
         F.col("dashboard_url").isNotNull() & (F.col("until") > F.col("cell"))
     )
-    ticks = F.sequence(F.col("cell") + tick, F.col("until"), tick)
-    return credited.select("user_id", "dashboard_url", F.explode(ticks).alias("ts"))
+
+
+def _interval(seconds: int) -> Column:
+    return F.expr(f"INTERVAL {seconds} SECONDS")
 
 
 def engaged_ticks_stream(
@@ -83,7 +123,7 @@ def idle_sessions(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataF
     by_time = Window.partitionBy("user_id").orderBy("first")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.col("first") - F.lag("last").over(by_time)
-    opens = F.when(since <= F.expr(f"INTERVAL {gap_seconds} SECONDS"), 0).otherwise(1)
+    opens = F.when(since <= _interval(gap_seconds), 0).otherwise(1)
     numbered = cells.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
     return (
         numbered.groupBy("user_id", "session")

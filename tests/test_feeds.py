@@ -3,10 +3,12 @@
 import random
 from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
+from boardpulse.functions.calendar import local_day
 from boardpulse.session import run_dir
 from boardpulse.sources import schemas
 from boardpulse.sources.feeds import accepted_pings, event_time, read_ping_stream, seed_rows, split_by_required
@@ -90,6 +92,17 @@ def test_ticks_equal_brute_force(spark, seed, grid):
     assert as_ticks(engagement.engaged_ticks(frame)) == brute_ticks(rows)
 
 
+@pytest.mark.parametrize("zone,tick", [(ZONE, 30), ("Europe/Madrid", 10)])
+def test_engaged_sessions_add_up_the_ticks(spark, zone, tick):
+    # Starts at 22:00 UTC and runs past local midnight in both zones' terms.
+    rows = activity_rows(10, rows=900, spread=30_000, grid=True)
+    frame = seed_rows(spark, rows, schemas.PINGS)
+    listed = rollup.roll_up(engagement.engaged_ticks(frame, tick_seconds=tick), zone)
+    summed = engagement.engaged_sessions(frame, zone, tick_seconds=tick)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, summed.select(listed.columns).collect()))
+    assert listed.select("session_date").distinct().count() > 1
+
+
 def test_exactly_five_minutes_still_counts(spark):
     on_border = seed_rows(spark, [(1, "u", datetime(2024, 3, 9, 12, 0, 0, tzinfo=timezone.utc))], schemas.PINGS)
     assert engagement.engaged_ticks(on_border).count() == 10
@@ -250,3 +263,19 @@ def test_required_fields(spark):
     accepted, rejected = split_by_required(frame, ["username", "name", "role"])
     assert accepted.count() == 1
     assert sorted(row["missing_fields"] for row in rejected.collect()) == ["name", "username,role"]
+
+
+@pytest.mark.parametrize("zone", [ZONE, "Europe/Madrid", "Asia/Kolkata"])
+def test_local_day_equals_the_zone_database(spark, zone):
+    dice = random.Random(9)
+    # Around switches of daylight saving, before 1970, and to the microsecond.
+    moments = [datetime(1969, 12, 31, 23, 59, 59, 500_000), datetime(2024, 3, 31, 0, 59, 59, 999_999)]
+    moments += [datetime(2024, 3, 30, 22) + timedelta(minutes=13 * n) for n in range(300)]
+    moments += [datetime(1995, 1, 1) + timedelta(seconds=dice.randrange(10**9)) for _ in range(300)]
+    rows = [(n, "u", moment.replace(tzinfo=timezone.utc)) for n, moment in enumerate(moments)]
+    frame = seed_rows(spark, rows, schemas.PINGS)
+    zoneless = frame.withColumn("ts", F.convert_timezone(None, F.lit("UTC"), "ts"))
+    expected = [row[2].astimezone(ZoneInfo(zone)).date() for row in rows]
+    for form in (frame, zoneless):
+        found = form.select("user_id", local_day(form, "ts", zone).alias("day")).orderBy("user_id").collect()
+        assert [row["day"] for row in found] == expected
