@@ -18,6 +18,10 @@ def or_default(value: Column, default: str) -> Column:
     return F.when(is_blank(value), F.lit(default)).otherwise(value)
 
 
+def blank_to_null(value: Column) -> Column:
+    return F.when(~is_blank(value), value)
+
+
 def joined_names(items: Column, keep_blank: bool = True) -> Column:
     """Names of an array of (id, name, ...) structs as one comma-separated text."""
     names = F.transform(items, lambda item: F.coalesce(item["name"], F.lit("")))

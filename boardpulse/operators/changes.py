@@ -70,12 +70,52 @@ def upsert(
     order. Columns a new row does not supply are NULL.
     """
     latest = latest_changes(changes, key, order_by)
-    added = new_rows(snapshot, latest, key)
+    added = _as_rows_of(snapshot, new_rows(snapshot, latest, key), key, id_column)
+    return update_by_key(snapshot, latest, key).unionByName(added)
+
+
+@dataclass(frozen=True)
+class Insertion:
+    """Outcome of adding rows that must be new."""
+
+    added: DataFrame
+    rejected: DataFrame
+
+
+def insert_new(
+    snapshot: DataFrame, requests: DataFrame, key: Sequence[str], id_column: str | None = None
+) -> Insertion:
+    """Rows to append, and the requests whose key is taken.
+
+    Of several requests for one key the greatest is taken, the others are refused like
+    those for a key already in the snapshot.
+    """
+    rest = [name for name in requests.columns if name not in key]
+    counted = requests.groupBy(*key, *rest).agg(F.count("*").alias("_copies"))
+    chosen = latest_changes(requests, key, [])
+    fresh = new_rows(snapshot, chosen, key)
+    matches = [counted[name].eqNullSafe(F.col(f"_in_{name}")) for name in requests.columns]
+    marks = fresh.select(
+        *[F.col(name).alias(f"_in_{name}") for name in requests.columns], F.lit(1).alias("_taken")
+    )
+    refused = F.col("_copies") - F.coalesce("_taken", F.lit(0))
+    rejected = (
+        counted.join(marks, matches, "left")
+        .withColumn("refused", refused)
+        .where(F.col("refused") > 0)
+        .select(*requests.columns, "refused")
+    )
+    return Insertion(_as_rows_of(snapshot, fresh, key, id_column), rejected)
+
+
+def _as_rows_of(
+    snapshot: DataFrame, added: DataFrame, key: Sequence[str], id_column: str | None
+) -> DataFrame:
+    """New rows in the layout of the snapshot, numbered on from its highest id."""
     if id_column is not None:
         highest = snapshot.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("highest")).scalar()
         added = number_rows(added, key, id_column, highest)
-    updated = update_by_key(snapshot, latest, key)
-    inserts = added.select(
+    return added.select(
         *[
             (F.col(field.name) if field.name in added.columns else F.lit(None))
             .cast(field.dataType)
@@ -83,7 +123,6 @@ def upsert(
             for field in snapshot.schema.fields
         ]
     )
-    return updated.unionByName(inserts)
 
 
 @dataclass(frozen=True)

@@ -21,16 +21,20 @@ def url_types(links: DataFrame) -> DataFrame:
 def url_weights(
     links: DataFrame, types: DataFrame | None = None, dashboard_name: str | None = None
 ) -> DataFrame:
-    """How many types each URL stands for, or how many with the given name.
+    """How often a session on a URL counts, for URLs that differ from the default.
 
-    Joining one weight per URL gives the sums of the joined-out rows without making the
-    facts grow.
+    Without a name a page counts once per type, and once if nobody linked it; only pages
+    of several types are listed. With a name it counts once per type so named; pages
+    without one count for nothing and are not listed. Joining one weight per listed URL
+    gives the sums of the joined-out rows, yet the facts do not grow and the side joined
+    to them is far smaller than the link table.
     """
     pairs = url_types(links)
     if dashboard_name is not None:
         named = types.where(F.col("name") == dashboard_name).select(F.col("id").alias("_type"))
         pairs = pairs.join(named, F.col("dashboard_type_id") == F.col("_type"), "left_semi")
-    return pairs.groupBy(F.col("url").alias("_url")).agg(F.count("*").alias("weight"))
+    weights = pairs.groupBy(F.col("url").alias("_url")).agg(F.count("*").alias("weight"))
+    return weights if dashboard_name is not None else weights.where(F.col("weight") > 1)
 
 
 def names_of_urls(links: DataFrame, types: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ def without(frame: DataFrame, column: str, doomed: DataFrame) -> DataFrame:
     return frame.join(ids, F.col(column) == F.col("_doomed"), "left_anti")
 
 
-def purge_users(tables: Tables, doomed: DataFrame) -> Tables:
-    """Remove users together with their positions and sessions."""
+def purge_users(tables: Tables, doomed: DataFrame, acting_user: int | None = None) -> Tables:
+    """Remove users together with their positions and sessions, never the one asking."""
+    if acting_user is not None:
+        doomed = doomed.where(F.col(doomed.columns[0]) != acting_user)
     return replace(
         tables,
         users=without(tables.users, "id", doomed),

@@ -352,6 +352,30 @@ FINDINGS = f"""
     SELECT 'sessions.user_id', CAST(user_id AS VARCHAR), count(*) FROM sessions
     WHERE user_id NOT IN (SELECT id FROM left_users) GROUP BY user_id)"""
 
+LOADED = """
+  all_positions AS (
+    SELECT id, name FROM positions
+    UNION ALL
+    SELECT (SELECT max(id) FROM positions) + row_number() OVER (ORDER BY name), name
+    FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)),
+  all_users AS (
+    SELECT id, username FROM users
+    UNION ALL
+    SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY lower(s_name)), lower(s_name) FROM supplier),
+  all_pairs AS (
+    SELECT user_id, position_id FROM user_positions
+    UNION
+    SELECT u.id, p.id FROM supplier JOIN all_users u ON u.username = lower(s_name)
+    JOIN all_positions p ON p.name = 'NATION_' || s_nationkey WHERE s_acctbal > 0),
+  held AS (
+    SELECT user_id, string_agg(p.name, ', ' ORDER BY p.id) AS names
+    FROM all_pairs JOIN all_positions p ON position_id = p.id GROUP BY 1)"""
+
+ENROLLED = """
+  strangers AS (
+    SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY lower(s_name)) AS id,
+           lower(s_name) AS username, s_name AS name, s_nationkey FROM supplier WHERE s_acctbal > 0)"""
+
 ORACLE: dict[str, str] = {
     "period_bounds": over(PERIODS),
     "base_kpis": over(totals("period")),
@@ -487,6 +511,43 @@ ORACLE: dict[str, str] = {
            UNION ALL
            SELECT c_custkey, CAST((c_nationkey + 1) % 25 AS BIGINT) FROM customer WHERE c_acctbal < 0"""
     ),
+    "load_directory": over(
+        "SELECT id, username, names AS position_name FROM all_users LEFT JOIN held ON id = user_id", LOADED
+    ),
+    "load_directory_unresolved": """
+      SELECT lower(s_name) AS username, 'NOWHERE' AS position_name FROM supplier WHERE NOT s_acctbal > 0""",
+    "enroll_users": over(
+        """SELECT id, username, name, email, role FROM users
+           UNION ALL SELECT id, username, name, NULL, 'user' FROM strangers""",
+        ENROLLED,
+    ),
+    "enroll_users_positions": over(
+        """SELECT user_id, position_id FROM user_positions
+           UNION ALL SELECT id, CAST(s_nationkey AS BIGINT) FROM strangers
+           UNION ALL SELECT id, CAST((s_nationkey + 1) % 25 AS BIGINT) FROM strangers""",
+        ENROLLED,
+    ),
+    "enroll_users_rejected": over(
+        """SELECT lower(s_name) AS username, 'Missing required fields: name' AS reason
+           FROM supplier WHERE NOT s_acctbal > 0
+           UNION ALL SELECT username, 'Username already exists' FROM users"""
+    ),
+    "revise_users": over(
+        f"""SELECT id, username, CASE WHEN id IN {IN_DEBT} THEN upper(name) ELSE name END AS name,
+                   CASE WHEN id IN {IN_DEBT} THEN NULL ELSE email END AS email,
+                   CASE WHEN id IN {IN_DEBT} THEN 'user' ELSE role END AS role
+            FROM users"""
+    ),
+    "revise_users_positions": over(
+        f"""SELECT user_id, position_id FROM user_positions WHERE user_id NOT IN {IN_DEBT}
+            UNION ALL
+            SELECT c_custkey, CAST((c_nationkey + 1) % 25 AS BIGINT) FROM customer
+            WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING'"""
+    ),
+    "revise_users_unknown": """
+      SELECT -1 - c_custkey AS id, lower(c_name) AS username, upper(c_name) AS name,
+             CAST(NULL AS VARCHAR) AS email, 'user' AS role
+      FROM customer WHERE c_acctbal < 0""",
     "purge_users": over(f"SELECT * FROM users WHERE id NOT IN {IN_DEBT}"),
     "purge_users_positions": over(f"SELECT * FROM user_positions WHERE user_id NOT IN {IN_DEBT}"),
     "purge_users_sessions": over(f"SELECT * FROM sessions WHERE user_id NOT IN {IN_DEBT}"),

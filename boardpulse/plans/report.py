@@ -85,10 +85,9 @@ class UsageReport:
         if base:
             name = self.params.dashboard_name
             weights = url_weights(self.tables.dashboard_links, self.tables.dashboard_types, name)
-            # A page nobody linked still counts once, unless a dashboard is asked for.
-            unlinked = 1 if name is None else 0
+            default = 1 if name is None else 0
             facts = facts.join(weights, F.col("dashboard_url") == F.col("_url"), "left").withColumn(
-                "weight", F.coalesce("weight", F.lit(unlinked))
+                "weight", F.coalesce("weight", F.lit(default))
             )
         for prefix in base:
             weight = F.when(self._in(compared[prefix].as_range()), F.col("weight"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from boardpulse.functions.calendar import LOCAL_ZONE, Period, preset_bounds
 from boardpulse.operators import changes, integrity, removal
-from boardpulse.plans import access, audit
+from boardpulse.plans import access, audit, directory
 from boardpulse.plans.params import ReportParams
 from boardpulse.plans.periods import period_overview
 from boardpulse.plans.report import UsageReport
@@ -444,6 +444,97 @@ def replace_assignments(spark, sf_dir):
     return changes.replace_assignments(testbed.user_positions(testbed.read(spark, sf_dir, "customer")), asked)
 
 
+def loaded(spark: SparkSession, sf_dir: str) -> directory.Loaded:
+    """Segments become positions, suppliers become users who ask for the one of their nation."""
+    segments = testbed.read(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("name"), F.lit(None).cast("boolean").alias("can_view_metrics")
+    )
+    people = testbed.read(spark, sf_dir, "supplier").select(
+        F.lower("s_name").alias("username"),
+        F.col("s_name").alias("name"),
+        F.lit("user").alias("role"),
+        F.when(F.col("s_acctbal") > 0, F.concat(F.lit("NATION_"), F.col("s_nationkey")))
+        .otherwise("NOWHERE")
+        .alias("position_name"),
+    )
+    return directory.load_directory(
+        testbed.tables(spark, sf_dir), directory.clean_positions(segments), people
+    )
+
+
+@query
+def load_directory(spark, sf_dir):
+    """Who holds what after the load, by name."""
+    return access.user_profiles(loaded(spark, sf_dir).tables).select("id", "username", "position_name")
+
+
+@query
+def load_directory_unresolved(spark, sf_dir):
+    return loaded(spark, sf_dir).rejected.select("username", "position_name")
+
+
+def enrolled(spark: SparkSession, sf_dir: str) -> directory.Loaded:
+    """All suppliers and customers ask to be users; only the former are new and complete."""
+    nation = F.col("s_nationkey").cast("long")
+    strangers = testbed.read(spark, sf_dir, "supplier").select(
+        F.lower("s_name").alias("username"),
+        F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("name"),
+        F.lit("").alias("email"),
+        F.lit("user").alias("role"),
+        F.array(nation, (nation + 1) % 25).alias("position_ids"),
+    )
+    known = users(spark, sf_dir).select(
+        "username", "name", "email", "role", F.lit(None).cast("array<long>").alias("position_ids")
+    )
+    return directory.enroll_users(testbed.tables(spark, sf_dir), strangers.unionByName(known))
+
+
+@query
+def enroll_users(spark, sf_dir):
+    return enrolled(spark, sf_dir).tables.users
+
+
+@query
+def enroll_users_positions(spark, sf_dir):
+    return enrolled(spark, sf_dir).tables.user_positions
+
+
+@query
+def enroll_users_rejected(spark, sf_dir):
+    return enrolled(spark, sf_dir).rejected
+
+
+def revised(spark: SparkSession, sf_dir: str) -> directory.Loaded:
+    """Customers in debt lose their address and move; as many ids beyond the last are unknown."""
+    home = F.col("c_nationkey").cast("long")
+    wanted = overdrawn(spark, sf_dir).select(
+        F.explode(F.array(F.col("c_custkey"), -1 - F.col("c_custkey"))).alias("id"),
+        F.lower("c_name").alias("username"),
+        F.upper("c_name").alias("name"),
+        F.lit("").alias("email"),
+        F.lit("user").alias("role"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.array().cast("array<long>"))
+        .otherwise(F.array((home + 1) % 25, (home + 1) % 25))
+        .alias("position_ids"),
+    )
+    return directory.revise_users(testbed.tables(spark, sf_dir), wanted)
+
+
+@query
+def revise_users(spark, sf_dir):
+    return revised(spark, sf_dir).tables.users
+
+
+@query
+def revise_users_positions(spark, sf_dir):
+    return revised(spark, sf_dir).tables.user_positions
+
+
+@query
+def revise_users_unknown(spark, sf_dir):
+    return revised(spark, sf_dir).rejected
+
+
 def purged(spark: SparkSession, sf_dir: str) -> Tables:
     return removal.purge_users(
         testbed.tables(spark, sf_dir), overdrawn(spark, sf_dir).select("c_custkey")
