@@ -12,16 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "boardpulse", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here assumes; ``conf`` overrides any of them.
 
-    On a cluster leave ``master`` unset and let the submit command name it. Shuffle width
-    is left to AQE, which starts wide and coalesces to the advisory size.
+    On a cluster leave ``master`` unset and let the submit command name it. Shuffles
+    there start wide and AQE coalesces them to the advisory size; a local session keeps
+    to ``spark.sql.shuffle.partitions``.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Window state of large streams belongs on disk, not on the heap.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    if master is None or not master.startswith("local"):
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8000"
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
     if master:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from boardpulse.functions.calendar import LOCAL_ZONE, fixed_offset, local_day
+from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, fixed_offset, local_day, within_days
 from boardpulse.sources.feeds import accepted_pings, event_time
 
 # Fixed value: the page name under which a login is recorded.
@@ -72,19 +74,23 @@ def write_partials(pings: DataFrame, path: str, zone: str = LOCAL_ZONE) -> DataS
 
     A repeated batch replaces its folder, so a restart never counts a ping twice. No
     state is kept between batches and no ping is ever too late. :func:`read_partials`
-    adds the parts up.
+    adds the parts up; stored by day, it reads only the days asked for.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        partial = roll_up(batch, zone)
-        partial.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        partial = roll_up(batch, zone).hint("rebalance", "session_date")
+        partial.write.mode("overwrite").partitionBy("session_date").parquet(f"{path}/batch_id={batch_id}")
 
     return event_time(pings).writeStream.foreachBatch(store)
 
 
-def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """Sessions as of now from the stored parts."""
-    return merge_partials(spark.read.parquet(path).drop("batch_id"))
+def read_partials(spark: SparkSession, path: str, ranges: Sequence[DayRange] = ()) -> DataFrame:
+    """Sessions as of now from the stored parts, of all days or of some.
+
+    As a session source: ``lambda ranges: read_partials(spark, path, ranges)``.
+    """
+    parts = spark.read.parquet(path).drop("batch_id")
+    return merge_partials(parts.where(within_days(F.col("session_date"), ranges)))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:

@@ -199,6 +199,18 @@ def test_partial_sessions_equal_batch_in_any_chunking(spark, zone):
     assert lengths(drain_partials(stream, "partials", zone)) == lengths(rollup.roll_up(pings, zone))
 
 
+def test_partial_sessions_are_pruned_by_day(spark):
+    pings = accepted_pings(seed_rows(spark, PINGS, schemas.PINGS))
+    folder = store_chunks(spark, pings, 2, "pings")
+    out = run_dir(spark, "days")
+    finish(rollup.write_partials(read_ping_stream(spark, folder), f"{out}/out", ZONE), out)
+    day = date(2024, 3, 9)
+    found = rollup.read_partials(spark, f"{out}/out", [(day, day)])
+    assert lengths(found) == {key: value for key, value in EXPECTED.items() if key[2] == day}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(session_date" in plan
+
+
 def test_repeated_batch_counts_once(spark):
     pings = accepted_pings(seed_rows(spark, PINGS, schemas.PINGS))
     source = store_chunks(spark, pings, 2, "pings")

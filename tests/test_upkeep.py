@@ -1,3 +1,4 @@
+import json
 from datetime import timedelta
 
 import pytest
@@ -6,11 +7,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from boardpulse import UsageReport
 from boardpulse.operators import changes, integrity, removal
 from boardpulse.operators.numbering import number_rows
+from boardpulse.plans import directory
 from boardpulse.session import run_dir
 from boardpulse.sources import schemas
 from boardpulse.sources.feeds import seed_rows
+from boardpulse.sources.sinks import write_document, write_rows
 from boardpulse.sources.tables import drop_legacy_columns, read_tables, write_tables
 
 A = "https://a"
@@ -188,3 +192,84 @@ def test_other_formats(spark, tables, fmt):
     again = read_tables(spark, root, fmt)
     assert rows(again.users, "id") == rows(tables.users, "id")
     assert rows(again.sessions(), "id") == rows(tables.sessions(), "id")
+
+
+def test_insertion_refuses_taken_keys_and_copies(spark):
+    users = seed_rows(spark, [person(1)], schemas.USERS)
+    asked = spark.createDataFrame(
+        [("user1", "X"), ("new", "A"), ("new", "B"), ("new", "B"), ("other", None)], "username string, name string"
+    )
+    done = changes.insert_new(users, asked, ["username"], "id")
+    assert rows(done.added.select("id", "username", "name"), "id") == [(2, "new", "B"), (3, "other", None)]
+    assert rows(done.rejected, "username", "name") == [("new", "A", 1), ("new", "B", 1), ("user1", "X", 1)]
+
+
+ENROLMENT = "username string, name string, email string, role string, position_ids array<long>"
+
+
+def test_enrolment(spark, tables):
+    asked = spark.createDataFrame(
+        [
+            ("new", "N", "", "user", [1, 3, 3]),
+            ("user1", "Again", None, "user", [3]),
+            ("", "Nameless", None, "user", None),
+            ("norole", "N", None, None, None),
+            ("bare", "B", "b@x", "admin", None),
+        ],
+        ENROLMENT,
+    )
+    done = directory.enroll_users(tables, asked)
+    assert rows(done.tables.users.where("id > 2"), "id") == [
+        (3, "bare", "B", "b@x", "admin"),
+        (4, "new", "N", None, "user"),
+    ]
+    assert rows(done.tables.user_positions.where("user_id > 2"), "position_id") == [(4, 1), (4, 3)]
+    assert rows(done.rejected, "username") == [
+        ("", "Missing required fields: username"),
+        ("norole", "Missing required fields: role"),
+        ("user1", "Username already exists"),
+    ]
+
+
+def test_revision_replaces_positions(spark, tables):
+    asked = spark.createDataFrame(
+        [(1, "user1", "One", "", "admin", [2, 3]), (2, "user2", "Two", "t@x", "user", []), (9, "u9", "N", None, "user", [1])],
+        "id long, " + ENROLMENT,
+    )
+    done = directory.revise_users(tables, asked)
+    assert rows(done.tables.users, "id") == [(1, "user1", "One", None, "admin"), (2, "user2", "Two", "t@x", "user")]
+    assert rows(done.tables.user_positions, "position_id") == [(1, 2), (1, 3)]
+    assert [row["id"] for row in done.rejected.collect()] == [9]
+
+
+def test_directory_load_twice_is_once(spark, tables):
+    positions = spark.createDataFrame([("P1",), ("P9",)], "name string")
+    people = seed_rows(
+        spark, [("user1", "One", "user", "P9"), ("fresh", "F", "user", "P1"), ("boss", "B", "admin", None)], schemas.SEED_USERS
+    )
+    once = directory.load_directory(tables, positions, people)
+    twice = directory.load_directory(once.tables, positions, people)
+    for name in ("users", "positions", "user_positions"):
+        frame = getattr(once.tables, name)
+        assert rows(frame, *frame.columns) == rows(getattr(twice.tables, name), *frame.columns)
+    assert rows(once.tables.positions, "id")[-1] == (4, "P9", None)
+    assert rows(once.tables.user_positions, "user_id", "position_id") == [(1, 1), (1, 4), (2, 1), (2, 2), (4, 1)]
+    assert once.rejected.collect() == []
+
+
+def test_position_flag_is_off_unless_on(spark):
+    asked = spark.createDataFrame([("A", None), ("B", True), ("", True)], "name string, can_view_metrics boolean")
+    assert rows(directory.clean_positions(asked), "name") == [("A", False), ("B", True)]
+
+
+def test_nobody_purges_themselves(spark, tables):
+    left = removal.purge_users(tables, spark.createDataFrame([(1,), (2,)], "id long"), acting_user=1)
+    assert rows(left.users.select("id"), "id") == [(1,)]
+
+
+def test_sinks_keep_nulls(spark, tables):
+    root = run_dir(spark, "sinks")
+    write_rows(tables.users, f"{root}/users", "json")
+    assert '"email":null' in spark.read.text(f"{root}/users").first()[0]
+    write_document(UsageReport(tables, as_of=DAY).document(), f"{root}/document")
+    assert json.loads(spark.read.text(f"{root}/document").first()[0])["kpis"]["total_sessions"] == 6
