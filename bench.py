@@ -18,7 +18,7 @@ from boardpulse.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 CHOSEN = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or list(QUERIES)
 
 # The report as its sections one by one, each reading the facts for itself.

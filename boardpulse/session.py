@@ -21,15 +21,15 @@ def build_session(app: str = "boardpulse", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        # Window state of large streams belongs on disk, not on the heap.
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master is None or not master.startswith("local"):
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8000"
         settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
+        # Window state of large streams belongs on disk, not on the heap.
+        settings["spark.sql.streaming.stateStore.providerClass"] = (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        )
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
     if master:
