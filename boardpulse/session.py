@@ -21,6 +21,9 @@ def build_session(app: str = "boardpulse", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Session windows of one busy user merge inside each task before they are shuffled.
+        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master is None or not master.startswith("local"):
