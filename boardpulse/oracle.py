@@ -165,8 +165,6 @@ def log(chosen: str, kept: str = "TRUE") -> str:
         WHERE s.dashboard_url <> 'LOGIN_PORTAL' AND u.role <> 'admin' AND {kept})"""
 
 
-NAMES = "string_agg(p.name, ', ' ORDER BY p.id)"
-
 HELD = """
   held AS (
     SELECT up.user_id, string_agg(p.name, ', ' ORDER BY p.id) AS names,
@@ -270,10 +268,17 @@ TOP_TYPE = f"""
              WHERE name = (SELECT name FROM tops ORDER BY count DESC, name LIMIT 1))"""
 
 
+TEXT_FIELDS = ("date", "name", "segment")
+
+
 def json_rows(source: str, fields: str, order: str) -> str:
-    return (
-        f"(SELECT '[' || coalesce(string_agg({fields}, ',' ORDER BY {order}), '') || ']' FROM ({source}))"
-    )
+    """All rows of a query as one JSON array of objects with the named fields."""
+    parts = []
+    for field in fields.split():
+        quote = '"' if field in TEXT_FIELDS else ""
+        parts.append(f"'\"{field}\":{quote}' || {field} || '{quote}'")
+    row = "'{' || " + " || ',' || ".join(parts) + " || '}'"
+    return f"(SELECT '[' || coalesce(string_agg({row}, ',' ORDER BY {order}), '') || ']' FROM ({source}))"
 
 
 DOCUMENT = f"""
@@ -283,11 +288,11 @@ DOCUMENT = f"""
     || ',"top_dashboard":{{"name":"' || top_name || '","count":' || top_count || '}}'
     || ',"inactive_users_count":' || inactive_users_count || ',"var_active_30d":' || var_active_30d
     || ',"var_sessions":' || var_sessions || ',"var_time":' || var_time || '}}'
-    || ',"over_time":' || {json_rows(OVER_TIME, "'{\"date\":\"' || date || '\",\"count\":' || count || '}'", "date")}
-    || ',"by_dashboard":' || {json_rows(by_dashboard(), "'{\"name\":\"' || name || '\",\"count\":' || count || '}'", "count DESC, name")}
-    || ',"by_position":' || {json_rows(BY_POSITION, "'{\"name\":\"' || name || '\",\"count\":' || count || '}'", "count DESC, name")}
-    || ',"engagement":' || {json_rows(ENGAGEMENT, "'{\"segment\":\"' || segment || '\",\"user_count\":' || user_count || '}'", "least")}
-    || ',"top_users":' || {json_rows(TOP_USERS, "'{\"name\":\"' || name || '\",\"sessions\":' || sessions || ',\"minutes\":' || minutes || '}'", "sessions DESC, name")}
+    || ',"over_time":' || {json_rows(OVER_TIME, "date count", "date")}
+    || ',"by_dashboard":' || {json_rows(by_dashboard(), "name count", "count DESC, name")}
+    || ',"by_position":' || {json_rows(BY_POSITION, "name count", "count DESC, name")}
+    || ',"engagement":' || {json_rows(ENGAGEMENT, "segment user_count", "least")}
+    || ',"top_users":' || {json_rows(TOP_USERS, "name sessions minutes", "sessions DESC, name")}
     || '}}' AS document
   FROM k"""
 
