@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardpulse.llm.decontaminate import find_leaks
 from boardpulse.llm.packing import pack
+from boardpulse.llm.quality import fit_quality, score_quality
+from boardpulse.llm.shared import remainder
 from boardpulse.llm.token_counts import token_counts
 from boardpulse.llm.token_files import checksums, read_tokens, write_tokens
+from boardpulse.llm.toxicity import fit_toxicity, score_toxicity
 from boardpulse.session import run_dir
 
 
@@ -23,6 +27,27 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, folder))
 
 
+def _judged(scores: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        (remainder("doc_id", modulus) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 5) != 0)
+    return _judged(score_toxicity(docs, model), 5, 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 3) != 1)
+    return _judged(score_quality(docs, model), 3, 1)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2, window=4096)
     return pieces.select(
@@ -30,13 +55,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that leaked into it."""
+    leaks = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "matched", "windows")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
