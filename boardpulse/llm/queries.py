@@ -14,8 +14,17 @@ from boardpulse.llm.shared import remainder
 from boardpulse.llm.token_counts import token_counts
 from boardpulse.llm.token_files import checksums, read_tokens, write_tokens
 from boardpulse.llm.toxicity import fit_toxicity, score_toxicity
+from boardpulse.llm.url_model import judge_urls, training_table
 from boardpulse.session import run_dir
 
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +36,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, folder))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, training_table(spark))
+
+
 def _judged(scores: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return scores.select(
         "doc_id",
@@ -67,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
