@@ -16,6 +16,7 @@ from boardpulse.llm.token_counts import token_counts
 from boardpulse.llm.token_files import checksums, read_tokens, write_tokens
 from boardpulse.llm.toxicity import fit_toxicity, score_toxicity
 from boardpulse.llm.url_model import judge_urls, training_table
+from boardpulse.llm.vector_links import link_vectors
 from boardpulse.session import run_dir
 
 URL_RULES = [
@@ -31,6 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "token-files")
     write_tokens(_table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=1)
@@ -90,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vector_links": op2_vector_links,
     "op3_token_files": op3_token_files,
     "op4_chat_masks": op4_chat_masks,
     "op5_url_filter": op5_url_filter,
