@@ -27,9 +27,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Of the segments remembered by one worker, at most.
-MOST_SEGMENTS = 700_000
+MOST_SEGMENTS = 500_000
 # Bytes of new segments that go to the library at once.
 BATCH_BYTES = 1 << 20
 
@@ -38,6 +40,8 @@ _WORD_SPACE = re.compile(r" (?=\S)")
 _STOP = re.compile(r"(?<=[^\W_])([,.])(?=\s|$)")
 # Begins a segment that has no space before it.
 _BARE = "\0"
+# Stands between segments.
+_CUT = "\1"
 
 
 class _Rows(dict):
@@ -96,19 +100,17 @@ class SegmentEncoder:
         self.starts = np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
-    def _segments(self, text: str) -> list[str] | None:
-        """The text cut at safe boundaries; None if it has to stay whole."""
-        if self.kind == "whole" or _BARE in text or (self.special and self.special.search(text)):
+    def _cut(self, text: str) -> str | None:
+        """The text with ``_CUT`` at its safe boundaries; None if it has to stay whole."""
+        if self.kind == "whole" or _BARE in text or _CUT in text or (self.special and self.special.search(text)):
             return None
         if self.kind == "dropped":
             if self.lowers and "Σ" not in text and unicodedata.is_normalized("NFC", text):
                 small = text.lower()
                 text = small if unicodedata.is_normalized("NFC", small) else text
-            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
-        text = _STOP.sub(" \0\\1", text)
-        parts = text.split(" ") if not _ODD_SPACE.search(text) else _WORD_SPACE.split(text)
-        parts[0] = _BARE + parts[0]
-        return parts
+            return _STOP.sub(_CUT + r"\1", text).replace("\n", _CUT).replace(" ", _CUT)
+        text = _BARE + _STOP.sub(" \0\\1", text)
+        return text.replace(" ", _CUT) if not _ODD_SPACE.search(text) else _WORD_SPACE.sub(_CUT, text)
 
     def _text(self, segment: str) -> str:
         if self.kind == "leading":
@@ -186,19 +188,22 @@ class SegmentEncoder:
     def _look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Table rows of all segments, how many each text has, and the ids of texts that stay whole."""
         self._trim()
-        found, sizes, whole, row_of = [], np.zeros(len(texts), np.int64), {}, self.rows.__getitem__
+        cut, whole = [], {}
         for place, text in enumerate(texts):
-            if text:
-                segments = self._segments(text)
-                if segments is None:
-                    whole[place] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                else:
-                    sizes[place] = len(segments)
-                    found.append(np.fromiter(map(row_of, segments), np.int64, len(segments)))
-        rows = np.concatenate(found) if found else np.zeros(0, np.int64)
+            ready = self._cut(text) if text else None
+            if text and ready is None:
+                whole[place] = self.tokenizer.encode(text, add_special_tokens=False).ids
+            cut.append(ready)
+        segments = pc.split_pattern(pa.array(cut, pa.large_string()), _CUT)
+        sizes = pc.fill_null(pc.list_value_length(segments), 0).to_numpy().astype(np.int64)
+        # Distinct segments of the batch are found in Arrow; only those are looked up here.
+        distinct = segments.flatten().dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        row_of = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))
         self._learn()
-        self.uses += np.bincount(rows, minlength=len(self.uses))
-        return rows, sizes, whole
+        places = distinct.indices.to_numpy()
+        self.uses[row_of] += np.bincount(places, minlength=len(names))
+        return row_of[places] if len(names) else np.zeros(0, np.int64), sizes, whole
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and the number of ids of each text; null counts as empty."""
