@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boardpulse.llm.chat import digests, format_chats
 from boardpulse.llm.decontaminate import find_leaks
+from boardpulse.llm.near_dup import near_duplicates
 from boardpulse.llm.packing import pack
 from boardpulse.llm.quality import fit_quality, score_quality
 from boardpulse.llm.shared import remainder, stored
@@ -32,6 +33,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class and whether it stays."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
 
@@ -95,6 +101,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_vector_links": op2_vector_links,
     "op3_token_files": op3_token_files,
     "op4_chat_masks": op4_chat_masks,
