@@ -63,12 +63,13 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
+        self.new: list[tuple[int, int]] = []  # not in the tables yet
+        self.filled = 0
+        self.hashes = np.empty(1 << 12, np.uint64)
+        self.kinds = np.empty(1 << 12, np.int8)
 
     def __missing__(self, token: str) -> int:
-        row = self[token] = len(self.hashes)
+        row = self[token] = len(self)
         small = token.lower()
         if token in ".!?\n":
             kind = _END
@@ -78,14 +79,26 @@ class _Words(dict):
             kind = _UNIT
         else:
             kind = _NAME if token[0].isupper() and token[1:].islower() else _LITERAL
-        self.hashes.append(xxhash.xxh64_intdigest(small.encode("utf-8", "replace")))
-        self.kinds.append(kind)
+        self.new.append((xxhash.xxh64_intdigest(small.encode("utf-8", "replace")), kind))
         return row
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.arrays is None or len(self.arrays[0]) != len(self.hashes):
-            self.arrays = np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8)
-        return self.arrays
+        """Hash and kind of every row; only new rows are written, into tables that double."""
+        end = self.filled + len(self.new)
+        if end > len(self.hashes):
+            more = max(end, 2 * len(self.hashes))
+            self.hashes, self.kinds = np.resize(self.hashes, more), np.resize(self.kinds, more)
+        if self.new:
+            hashes, kinds = zip(*self.new)
+            self.hashes[self.filled : end] = np.array(hashes, np.uint64)
+            self.kinds[self.filled : end] = kinds
+            self.filled = end
+            self.new.clear()
+        return self.hashes, self.kinds
+
+
+# Words met by this worker, over all its tasks.
+_met = _Words()
 
 
 def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +165,7 @@ class TemplateIndex:
 
     def matcher(self) -> Callable[[str | None], list[tuple[int, int, int]]]:
         """A function from a text to its leaks: item id, windows found, windows of the item."""
-        words, lengths = _Words(), np.unique(self.sizes).tolist()
+        words, lengths = _met, np.unique(self.sizes).tolist()
         shift = np.uint64(44)
         seen = np.zeros(1 << 20, bool)
         seen[(self.hashes >> shift).astype(np.int64)] = True
