@@ -12,12 +12,13 @@ k-mers. Texts at 0.8 or more are linked, classes are the connected components.
    smallest values and keeps them in the order of the text; nodes with equal samples of a
    function share a bucket. At similarity 0.8 a pair misses all buckets about once in
    3,000; at 0.5 it shares each with a chance of 3 %.
-3. In every bucket the members are compared with the first one. Then, as long as a bucket
-   holds several classes, with the next 16, 64, ... members, until all are through. Pairs
-   already in one class are not compared again. So the work in a bucket of one class is
-   linear, no member is left out, and no bucket has a cap.
-4. Candidates are verified exactly: their common k-mers within the band that the threshold
-   allows are chained in order.
+3. In every bucket the members are compared with the first one. Buckets that are one class
+   then are done, with work linear in their size. In the others every two members of
+   different classes are compared: the members are dealt into blocks of ``GROUP``, every
+   pair of blocks is one piece of work for any task, and in it the numbers of common
+   k-mers come from one sparse product. No member is left out and no bucket has a cap.
+4. Candidates with enough common k-mers are verified exactly: those within the band that
+   the threshold allows are chained in order.
 
 Defined results: null and empty texts, and texts without words, are copies of each other
 if they are equal as strings, and near nothing else; a null id is kept in its class but is
@@ -31,18 +32,19 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardpulse.llm.components import components
-from boardpulse.llm.shared import encode_frame, in_arrow, slices, stored
+from boardpulse.llm.shared import encode_frame, in_arrow, slices, stored, whole_groups
 
 K, TABLES, DEPTH = 5, 20, 5
 THRESHOLD = 0.8
+GROUP = 128
 MOST_WORDS = 600_000
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -190,6 +192,71 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     return in_arrow(rows, sign, _SIGNED)
 
 
+def common_counts(runs: list[np.ndarray]) -> np.ndarray:
+    """Number of common labelled k-mers of every two texts."""
+    sizes = np.array([len(r) for r in runs])
+    total = np.zeros((len(runs), len(runs)), np.float32)
+    _, places, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    texts = np.repeat(np.arange(len(runs)), sizes)
+    shared = times[places] > 1
+    texts, places = texts[shared], places[shared]
+    kept = np.cumsum(times > 1) - 1
+    places = kept[places]
+    wide = int(kept[-1]) + 1 if len(kept) else 0
+    for begin in range(0, wide, 8192):
+        here = (places >= begin) & (places < begin + 8192)
+        block = np.zeros((len(runs), min(8192, wide - begin)), np.float32)
+        block[texts[here], places[here] - begin] = 1
+        total += block @ block.T
+    return total
+
+
+def _joining(pairs: list[list[int]], labels: list[int], test: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs that pass ``test`` and join classes not joined by the pairs before."""
+    root = {label: label for label in labels}
+
+    def find(label: int) -> int:
+        while root[label] != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    out = []
+    for x, y in pairs:
+        mine, other = find(labels[x]), find(labels[y])
+        if mine != other and test(x, y):
+            root[mine] = other
+            out.append((x, y))
+    return out
+
+
+def _within_buckets(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of each bucket; rows hold bucket, node, label and size."""
+    n_blocks = F.ceil(F.col("size") / GROUP).cast("int")
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    pairs = pairs.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block")
+    filled = pairs.join(codes, "node").select("bucket", "low", "high", "node", "label", "block", "codes")
+    grouped = filled.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 3):
+            names, labels, blocks = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            differ = labels[:, None] != labels[None, :]
+            if batch.column(1)[0] != batch.column(2)[0]:
+                differ &= blocks[:, None] != blocks[None, :]
+            linked: list[tuple[int, int]] = []
+            if differ.any():
+                runs = [kmers(np.frombuffer(c, "<u4")) for c in batch.column(6).to_pylist()]
+                sizes = np.array([len(r) for r in runs], np.float64)
+                need = THRESHOLD * (sizes[:, None] + sizes[None, :]) / (1 + THRESHOLD) - 1e-6
+                likely = np.triu(differ & (common_counts(runs) >= need), 1)
+                linked = _joining(np.argwhere(likely).tolist(), labels.tolist(), lambda x, y: aligned(runs[x], runs[y]))
+            a, b = names[[x for x, _ in linked]], names[[y for _, y in linked]]
+            yield encode_frame({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return in_arrow(grouped, compare, "a long, b long")
+
+
 def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """Which pairs (a, b) align; a is the member many others are compared with."""
     left = pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("b_codes")), "b")
@@ -232,28 +299,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     meeting = stored(members.select("node").distinct(), "meeting")
     codes = stored(signed.select(F.col("row").alias("node"), "codes").join(meeting, "node"), "codes")
 
-    tested = stored(_verified(pairs, codes), "tested")
-    labels = components(tested.where("linked"))
-    low, high = 1, 17
-    while True:
-        # Buckets that still hold several classes and members that were not yet compared with.
-        labelled = members.where(F.col("size") > low).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = stored(labelled, "labelled")
-        mixed = stored(
-            labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "mixed"
-        )
-        open_rows = stored(labelled.join(mixed, "bucket"), "open")
-        if open_rows.isEmpty():
-            break
-        ranked = Window.partitionBy("bucket").orderBy("node")
-        pivots = open_rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= high).where(F.col("rank") > low)
-        pivots = stored(pivots.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label")), "pivots")
-        pairs = open_rows.join(pivots, "bucket").where((F.col("label") != F.col("a_label")) & fits("a_n", "n"))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = stored(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        tested = stored(tested.unionByName(_verified(pairs, codes)), "tested")
-        labels = components(tested.where("linked"))
-        low, high = high, low + 4 * (high - low) + 16
+    links = stored(_verified(pairs, codes).where("linked").select("a", "b"), "links")
+    labels = components(links)
+    # Buckets that still hold several classes; all members of a pair's bucket were compared with its first.
+    labelled = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stored(labelled, "labelled")
+    spans = labelled.groupBy("bucket").agg(F.min("label").alias("lowest"), F.max("label").alias("highest"))
+    mixed = stored(spans.where("lowest != highest").select("bucket"), "mixed")
+    more = stored(_within_buckets(labelled.join(mixed, "bucket"), codes), "links")
+    labels = components(links.unionByName(more))
 
     classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = stored(classes, "classes")

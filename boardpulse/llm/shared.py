@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,9 +73,24 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(begin)
 
 
-def unsigned(binary: Column) -> Column:
-    """CRC-32 of a binary column as a non-negative long."""
-    return F.crc32(binary)
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows cut where the first ``n_keys`` integer columns change, one batch per group.
+
+    For groups of bounded size only; the rows of the last group wait for the next batch.
+    """
+    left: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([left, table]).combine_chunks() if left is not None else table
+        keys = np.stack([table.column(k).to_numpy() for k in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist()]
+        for begin, end in zip(cuts, cuts[1:]):
+            yield table.slice(begin, end - begin).combine_chunks().to_batches()[0]
+        left = table.slice(cuts[-1])
+    if left is not None:
+        yield left.combine_chunks().to_batches()[0]
 
 
 def remainder(id_column: str, modulus: int) -> Column:
