@@ -102,10 +102,9 @@ def _any_of(terms: list[Column]) -> Column:
 
 
 def fixed_offset(zone: str) -> timedelta | None:
-    """UTC offset of a zone that keeps one offset from now on, else None."""
-    year = datetime.now(timezone.utc).year
-    moments = [datetime(y, m, 1, tzinfo=ZoneInfo(zone)) for y in (year, year + 1) for m in range(1, 13)]
-    offsets = {moment.utcoffset() for moment in moments}
+    """UTC offset of a zone that has had one offset in all its history, else None."""
+    months = (datetime(y, m, 1, tzinfo=ZoneInfo(zone)) for y in range(1900, 2101) for m in range(1, 13))
+    offsets = {moment.utcoffset() for moment in months}
     return offsets.pop() if len(offsets) == 1 else None
 
 

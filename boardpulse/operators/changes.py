@@ -26,6 +26,31 @@ def latest_changes(changes: DataFrame, key: Sequence[str], order_by: Sequence[st
     return picked.select(*key, *[F.col("_newest")[name].alias(name) for name in rest])
 
 
+def sole_changes(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys with one change, however often it is repeated, and that change.
+
+    Without an order nothing tells which of several changes is the last; their keys are
+    left out here and listed by :func:`conflicts`.
+    """
+    rest = [name for name in changes.columns if name not in key]
+    if not rest:
+        return changes.select(*key).distinct()
+    picked = _extremes(changes, key, rest).where(F.col("_low").eqNullSafe(F.col("_high")))
+    return picked.select(*key, *[F.col("_low")[name].alias(name) for name in rest])
+
+
+def conflicts(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys with several different changes, and the number of change rows."""
+    rest = [name for name in changes.columns if name not in key]
+    picked = _extremes(changes, key, rest).where(~F.col("_low").eqNullSafe(F.col("_high")))
+    return picked.select(*key, F.col("_rows").alias("changes"))
+
+
+def _extremes(changes: DataFrame, key: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    row = F.struct(*rest)
+    return changes.groupBy(*key).agg(F.min(row).alias("_low"), F.max(row).alias("_high"), F.count("*").alias("_rows"))
+
+
 def update_by_key(snapshot: DataFrame, latest: DataFrame, key: Sequence[str]) -> DataFrame:
     """Overwrite the supplied columns of rows whose key is in ``latest``; add no rows.
 
@@ -67,9 +92,10 @@ def upsert(
     """Insert new keys, update known ones, and leave columns that are not supplied alone.
 
     With ``id_column`` new rows get the numbers after the highest one in use, in key
-    order. Columns a new row does not supply are NULL.
+    order. Columns a new row does not supply are NULL. Without ``order_by`` keys with
+    several different changes are left alone; :func:`conflicts` lists them.
     """
-    latest = latest_changes(changes, key, order_by)
+    latest = latest_changes(changes, key, order_by) if order_by else sole_changes(changes, key)
     added = _as_rows_of(snapshot, new_rows(snapshot, latest, key), key, id_column)
     return update_by_key(snapshot, latest, key).unionByName(added)
 

@@ -39,7 +39,15 @@ dashboard_links AS (
          CAST(n_nationkey AS BIGINT) AS position_id, CAST(type_id AS BIGINT) AS dashboard_type_id,
          'https://bi.example/r/' || page AS url
   FROM nation, page_types WHERE (n_nationkey + type_id) % 3 <> 0),
-dl AS (SELECT DISTINCT url, dashboard_type_id FROM dashboard_links),
+page_weight AS (SELECT url AS page, count(DISTINCT dashboard_type_id) AS weight FROM dashboard_links GROUP BY url),
+sales_pages AS (
+  SELECT url AS page, count(DISTINCT dashboard_type_id) AS weight FROM dashboard_links
+  WHERE dashboard_type_id IN (SELECT id FROM dashboard_types WHERE name = 'Ventas') GROUP BY url),
+page_names AS (
+  SELECT DISTINCT links.url AS page, kinds.id AS kind, kinds.name
+  FROM dashboard_links links, dashboard_types kinds
+  WHERE kinds.id = links.dashboard_type_id AND kinds.name NOT IN ('Admin', 'Portal/login')),
+holders AS (SELECT DISTINCT user_id AS holder FROM user_positions WHERE position_id = 7),
 admins AS (SELECT id FROM users WHERE role = 'admin'),
 period AS (SELECT * FROM sessions WHERE session_date BETWEEN DATE '2024-01-27' AND DATE '2024-01-29'),
 before AS (SELECT * FROM sessions WHERE session_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-26')
@@ -50,11 +58,15 @@ def over(body: str, extra: str = "") -> str:
     return f"WITH {DOMAIN}{', ' + extra if extra else ''} {body}"
 
 
-def totals(source: str, where: str = "TRUE") -> str:
+def totals(source: str, where: str = "TRUE", pages: str = "page_weight", unlisted: int = 1) -> str:
+    """Every session counts as often as ``pages`` says, or ``unlisted`` times."""
     return f"""
-      SELECT CAST(coalesce(sum(s.duration_minutes), 0) AS BIGINT) AS total_minutes,
-             count(s.id) AS total_sessions, count(DISTINCT s.user_id) AS unique_users
-      FROM {source} s LEFT JOIN dl ON s.dashboard_url = dl.url WHERE {where}"""
+      SELECT CAST(coalesce(sum(duration_minutes * times), 0) AS BIGINT) AS total_minutes,
+             CAST(coalesce(sum(times), 0) AS BIGINT) AS total_sessions,
+             count(DISTINCT user_id) FILTER (times > 0) AS unique_users
+      FROM (SELECT user_id, duration_minutes,
+                   coalesce((SELECT weight FROM {pages} WHERE page = dashboard_url), {unlisted}) AS times
+            FROM {source} WHERE {where})"""
 
 
 def tenth(top: str, bottom: str, factor: int = 1) -> str:
@@ -73,9 +85,8 @@ def change(now: str, then: str) -> str:
     )
 
 
-NO_ADMINS = "s.user_id NOT IN (SELECT id FROM admins)"
-HOLDS = "EXISTS (SELECT 1 FROM user_positions up WHERE up.user_id = s.user_id AND up.position_id = 7)"
-SHOWS = "EXISTS (SELECT 1 FROM dashboard_types dt WHERE dl.dashboard_type_id = dt.id AND dt.name = 'Ventas')"
+NO_ADMINS = "user_id NOT IN (SELECT id FROM admins)"
+HOLDS = "user_id IN (SELECT holder FROM holders)"
 
 
 def adoption(where: str = "TRUE") -> str:
@@ -91,9 +102,10 @@ def adoption(where: str = "TRUE") -> str:
 
 def by_dashboard(where: str = "TRUE") -> str:
     return f"""
-      SELECT dt.name AS name, count(*) AS count
-      FROM period s JOIN dl ON s.dashboard_url = dl.url JOIN dashboard_types dt ON dl.dashboard_type_id = dt.id
-      WHERE dt.name NOT IN ('Portal/login', 'Admin') AND {where} GROUP BY 1"""
+      SELECT name, CAST(sum(visits) AS BIGINT) AS count
+      FROM page_names NATURAL JOIN (
+        SELECT dashboard_url AS page, count(*) AS visits FROM period WHERE {where} GROUP BY dashboard_url)
+      GROUP BY name"""
 
 
 OVER_TIME = """
@@ -101,22 +113,24 @@ OVER_TIME = """
   FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-27', DATE '2024-01-29', INTERVAL 1 DAY)) AS DATE) AS date) d
   LEFT JOIN (SELECT session_date, count(id) AS n FROM period GROUP BY 1) c ON c.session_date = d.date"""
 
-BY_POSITION = """
-  SELECT p.name AS name, count(s.id) AS count
-  FROM positions p JOIN user_positions up ON p.id = up.position_id JOIN period s ON up.user_id = s.user_id
-  GROUP BY 1"""
+PER_USER = "SELECT user_id, count(*) AS n, sum(duration_minutes) AS spent FROM period GROUP BY user_id"
 
-ENGAGEMENT = """
+BY_POSITION = f"""
+  SELECT name, CAST(sum(n) AS BIGINT) AS count
+  FROM (SELECT id AS position_id, name FROM positions) NATURAL JOIN user_positions NATURAL JOIN ({PER_USER})
+  GROUP BY name"""
+
+ENGAGEMENT = f"""
   SELECT segment, count(*) AS user_count, min(n) AS least
-  FROM (SELECT user_id, count(id) AS n,
-               CASE WHEN count(id) = 1 THEN '1 Sesión' WHEN count(id) <= 5 THEN '2-5 Sesiones'
-                    WHEN count(id) <= 10 THEN '6-10 Sesiones' ELSE '+10 Sesiones' END AS segment
-        FROM period GROUP BY user_id)
-  GROUP BY 1"""
+  FROM ({PER_USER}), (VALUES ('1 Sesión', 1, 1), ('2-5 Sesiones', 2, 5), ('6-10 Sesiones', 6, 10),
+                             ('+10 Sesiones', 11, 1000000000)) bounds(segment, low, high)
+  WHERE n BETWEEN low AND high
+  GROUP BY segment"""
 
-TOP_USERS = """
-  SELECT u.name AS name, count(s.id) AS sessions, CAST(sum(s.duration_minutes) AS BIGINT) AS minutes
-  FROM users u JOIN period s ON u.id = s.user_id GROUP BY 1 ORDER BY sessions DESC, name LIMIT 10"""
+TOP_USERS = f"""
+  SELECT name, CAST(sum(n) AS BIGINT) AS sessions, CAST(sum(spent) AS BIGINT) AS minutes
+  FROM (SELECT id AS user_id, name FROM users) NATURAL JOIN ({PER_USER})
+  GROUP BY name ORDER BY 2 DESC, 1 LIMIT 10"""
 
 
 def kpis(where: str = "TRUE", everywhere: str = "TRUE") -> str:
@@ -191,9 +205,6 @@ ACTIVITY = """
           )) AS g
           FROM steps WHERE url IS NOT NULL))"""
 
-# When a drained stream has closed what lies an hour behind the newest event.
-CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
 
 def islands(gap: str) -> str:
     return f"""
@@ -385,8 +396,8 @@ ORACLE: dict[str, str] = {
     "period_bounds": over(PERIODS),
     "base_kpis": over(totals("period")),
     "base_kpis_by_position": over(totals("period", HOLDS)),
-    "base_kpis_by_dashboard": over(totals("period", SHOWS)),
-    "base_kpis_by_user": over(totals("period", "s.user_id = 7")),
+    "base_kpis_by_dashboard": over(totals("period", "TRUE", "sales_pages", 0)),
+    "base_kpis_by_user": over(totals("period", "user_id = 7")),
     "base_kpis_no_admins": over(totals("period", NO_ADMINS)),
     "base_kpis_previous": over(totals("before")),
     "adoption": adoption(),
@@ -455,9 +466,10 @@ ORACLE: dict[str, str] = {
            LEFT JOIN dashboard_types t ON l.dashboard_type_id = t.id"""
     ),
     "position_catalog": over("SELECT * FROM positions"),
-    "type_catalog": over(
-        """SELECT t.id, t.name, t.description, count(l.id) AS links
-           FROM dashboard_types t LEFT JOIN dashboard_links l ON l.dashboard_type_id = t.id GROUP BY ALL"""
+    "type_catalog": over("SELECT id, name, description FROM dashboard_types"),
+    "links_of_types": over(
+        """SELECT id, name, (SELECT count(*) FROM dashboard_links WHERE dashboard_type_id = kinds.id) AS links
+           FROM dashboard_types kinds"""
     ),
     "users_of_position": over(
         "SELECT * FROM users WHERE id IN (SELECT user_id FROM user_positions WHERE position_id = 7)"
@@ -481,12 +493,19 @@ ORACLE: dict[str, str] = {
       FROM events WHERE event_type = 'signup' GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "session_rollup_stream": over("SELECT * FROM sessions"),
     "closed_day_sessions_stream": over(
-        f"SELECT * FROM sessions WHERE session_date + INTERVAL 1 DAY + INTERVAL 3 HOUR <= {CLOSED}"
+        """SELECT user_id, dashboard_url, session_date, start_time, last_ping, duration_minutes
+           FROM sessions WHERE session_date <= DATE '2024-01-30'"""
+    ),
+    "engaged_ticks_stream": f"WITH {ACTIVITY} SELECT * FROM ticks",
+    "idle_sessions_stream": f"WITH {islands('6 HOUR')} SELECT * FROM stays",
+    "rate_breaches_stream": f"WITH {BREACHES} SELECT * FROM breaches",
+    "blank_pings_refused": over("SELECT * FROM sessions WHERE dashboard_url NOT IN ('LOGIN_PORTAL', 'https://bi.example/r/error')"),
+    "blank_pings_refused_stream": over("SELECT * FROM sessions WHERE dashboard_url <> 'https://bi.example/r/error'"),
+    "stored_sessions_report": over(
+        """SELECT session_date, count(*) AS sessions, CAST(sum(duration_minutes) AS BIGINT) AS minutes FROM period
+           WHERE session_date > DATE '2024-01-27' OR user_id % 2 = 0 GROUP BY session_date"""
     ),
-    "engaged_ticks_stream": f"WITH {ACTIVITY} SELECT * FROM ticks WHERE ts <= {CLOSED}",
-    "idle_sessions_stream": f"""WITH {islands('6 HOUR')}
-      SELECT * FROM stays WHERE last_activity + INTERVAL 6 HOUR <= {CLOSED}""",
-    "rate_breaches_stream": f"WITH {BREACHES} SELECT * FROM breaches WHERE window_end <= {CLOSED}",
+    "audit_log_complete": over("SELECT * FROM trail", log("TRUE", HOLDS).replace("LIMIT 500", "")),
     "upsert_positions": over("SELECT * FROM upserted", POSITION_CHANGES),
     "upsert_users": over(
         f"""SELECT id, username, name, email, CASE WHEN id IN {IN_DEBT} THEN 'admin' ELSE role END AS role FROM users
@@ -569,4 +588,22 @@ ORACLE: dict[str, str] = {
     "drop_legacy": over("SELECT * FROM users"),
     "credentials_ready": over("SELECT * FROM users WHERE email IS NOT NULL"),
     "credentials_rejected": over("SELECT *, 'email' AS missing_fields FROM users WHERE email IS NULL"),
+    "update_links": over(
+        """SELECT id, position_id, dashboard_type_id,
+                  CASE WHEN id % 3 = 0 THEN 'https://moved.example/' || id ELSE url END AS url FROM dashboard_links"""
+    ),
+    "delete_links": over("SELECT * FROM dashboard_links WHERE id % 3 <> 0"),
+    "update_types": over(
+        """SELECT id, coalesce((SELECT n_name FROM nation WHERE n_nationkey = id), name) AS name, description
+           FROM dashboard_types"""
+    ),
+    "update_positions": over("SELECT id, name, can_view_metrics OR id % 3 = 0 AS can_view_metrics FROM positions"),
+    "upsert_without_order": over(
+        """SELECT id, username, name, CASE WHEN id % 4 IN (1, 2) THEN 'a@x.example' ELSE email END AS email, role
+           FROM users"""
+    ),
+    "upsert_conflicts": "SELECT lower(c_name) AS username, CAST(2 AS BIGINT) AS changes FROM customer WHERE c_custkey % 4 = 0",
+    "revise_users_rejected": """
+      SELECT c_custkey AS id, 'Username already exists' AS reason FROM customer WHERE c_custkey % 5 < 2
+      UNION ALL SELECT c_custkey, 'Unknown position: 99' FROM customer WHERE c_custkey % 5 = 2""",
 }

@@ -21,10 +21,6 @@ LOG_LIMIT = 500
 RECENT_LIMIT = 15
 NAMELESS_USER = "Usuario Desconocido"
 
-# The log itself is the small side of every join, by its own limit. Beyond this many
-# rows the engine chooses.
-BROADCAST_ROWS = 10_000
-
 
 def _newest_first() -> list:
     return [F.desc_nulls_first("last_ping"), F.desc("id")]
@@ -37,24 +33,24 @@ def audit_log(
     user_id: int | None = None,
     position_id: int | None = None,
     dashboard_name: str | None = None,
-    limit: int = LOG_LIMIT,
+    limit: int | None = LOG_LIMIT,
 ) -> DataFrame:
     """Newest sessions by last ping, then stripped of logins, admins and other dashboards.
 
     Day and user filters choose before the limit, everything else after it, so fewer
-    than ``limit`` rows may remain. Absent days are unbounded.
+    than ``limit`` rows may remain. Absent days are unbounded; without a limit the log is
+    complete. Sessions without a page stay in the log under the name for unlinked pages.
     """
     facts = tables.sessions((start_date, end_date)) if start_date or end_date else tables.sessions()
     if user_id is not None:
         facts = facts.where(F.col("user_id") == user_id)
-    newest = pin(facts.orderBy(*_newest_first()).limit(limit))
+    newest = facts if limit is None else pin(facts.orderBy(*_newest_first()).limit(limit))
 
-    small = F.broadcast if limit <= BROADCAST_ROWS else (lambda frame: frame)
     people = tables.users.where(~is_admin(F.col("role"))).select(
         F.col("id").alias("_user"), or_default(F.col("name"), NAMELESS_USER).alias("name")
     )
     log = people.join(
-        small(newest.where(F.col("dashboard_url") != LOGIN_PORTAL)), F.col("_user") == F.col("user_id")
+        newest.where(~F.col("dashboard_url").eqNullSafe(LOGIN_PORTAL)), F.col("_user") == F.col("user_id")
     )
     names = display_names(tables.dashboard_links, tables.dashboard_types)
     log = log.join(names, F.col("dashboard_url") == F.col("_url"), "left").withColumn(
@@ -64,7 +60,7 @@ def audit_log(
         log = log.where(F.col("dashboard_name") == dashboard_name)
 
     seen = newest.select(F.col("user_id").alias("_seen")).distinct()
-    held = tables.user_positions.join(small(seen), F.col("user_id") == F.col("_seen"), "left_semi")
+    held = tables.user_positions.join(seen, F.col("user_id") == F.col("_seen"), "left_semi")
     bundles = positions_per_user(held, tables.positions).select(
         F.col("_user").alias("_holder"), "positions"
     )
@@ -89,7 +85,7 @@ def recent_activity(log: DataFrame, zone: str = LOCAL_ZONE, limit: int = RECENT_
     """The first rows of a log in display form; a length of zero shows as one."""
     minutes = F.col("duration_minutes")
     return (
-        log.where(F.col("dashboard_url") != LOGIN_PORTAL)
+        log.where(~F.col("dashboard_url").eqNullSafe(LOGIN_PORTAL))
         .orderBy(*_newest_first())
         .limit(limit)
         .select(

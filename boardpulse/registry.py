@@ -17,9 +17,10 @@ from boardpulse.plans.periods import period_overview
 from boardpulse.plans.report import UsageReport
 from boardpulse.sources import testbed
 from boardpulse.sources.feeds import split_by_required
-from boardpulse.sources.tables import Tables, drop_legacy_columns
+from boardpulse.session import pin, run_dir
+from boardpulse.sources.tables import Tables, drop_legacy_columns, from_frame, write_sessions
 from boardpulse.streaming import engagement, ratewatch, rollup
-from boardpulse.streaming.runner import drain, drain_partials
+from boardpulse.streaming.runner import drain_partials, drain_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,7 @@ START, END = date(2024, 1, 27), date(2024, 1, 29)
 POSITION, USER, DASHBOARD = 7, 7, "Ventas"
 BREACH_WINDOW, BREACH_LIMIT, LOGIN_LIMIT = "1 day", 4, 1
 GAP_SECONDS = 6 * 3600
+STREAM_FILES = 3
 
 QUERIES: dict[str, Query] = {}
 
@@ -229,13 +231,18 @@ def position_catalog(spark, sf_dir):
 
 @query
 def type_catalog(spark, sf_dir):
+    return access.type_catalog(testbed.tables(spark, sf_dir))
+
+
+@query
+def links_of_types(spark, sf_dir):
     """Types with the number of links that would go with each of them."""
     tables = testbed.tables(spark, sf_dir)
     links = tables.dashboard_links.groupBy(F.col("dashboard_type_id").alias("_type")).agg(
         F.count("*").alias("_links")
     )
-    catalog = access.type_catalog(tables).join(links, F.col("id") == F.col("_type"), "left")
-    return catalog.select("id", "name", "description", F.coalesce("_links", F.lit(0)).alias("links"))
+    named = tables.dashboard_types.join(links, F.col("id") == F.col("_type"), "left")
+    return named.select("id", "name", F.coalesce("_links", F.lit(0)).alias("links"))
 
 
 @query
@@ -258,9 +265,11 @@ def activity(events: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream. The pattern matches that one name, as file or folder."""
-    schema = testbed.read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    """The events as a stream of several batches: dealt into files, one file at a time."""
+    events = testbed.read(spark, sf_dir, "events")
+    folder = run_dir(spark, "event-files")
+    events.repartition(STREAM_FILES, F.xxhash64("event_id")).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,26 +323,81 @@ def session_rollup_stream(spark, sf_dir):
 
 @query
 def closed_day_sessions_stream(spark, sf_dir):
+    """Sessions of the days that are over, moved from parts to day partitions."""
     pings = testbed.as_pings(event_stream(spark, sf_dir))
-    return drain(rollup.roll_up_stream(pings), "closed-days")
+    target = run_dir(spark, "closed-days")
+    days = [(None, AS_OF)]
+
+    def read(path: str) -> DataFrame:
+        rollup.compact_partials(spark, path, target, days)
+        return spark.read.schema(rollup.part_schema()).parquet(target)
+
+    return drain_parts(spark, "closing", lambda path: rollup.write_partials(pings, path), read)
 
 
 @query
 def engaged_ticks_stream(spark, sf_dir):
-    return drain(engagement.engaged_ticks_stream(activity(event_stream(spark, sf_dir))), "ticks")
+    pages = activity(event_stream(spark, sf_dir))
+    return drain_parts(
+        spark, "ticks", lambda path: engagement.write_ticks(pages, path), lambda path: engagement.read_ticks(spark, path)
+    )
 
 
 @query
 def idle_sessions_stream(spark, sf_dir):
-    return drain(
-        engagement.idle_sessions_stream(activity(event_stream(spark, sf_dir)), GAP_SECONDS), "idle"
+    pages = activity(event_stream(spark, sf_dir))
+    return drain_parts(
+        spark,
+        "idle",
+        lambda path: engagement.write_idle_sessions(pages, path, GAP_SECONDS),
+        lambda path: engagement.read_idle_sessions(spark, path, GAP_SECONDS),
     )
 
 
 @query
 def rate_breaches_stream(spark, sf_dir):
     requests = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts")
-    return drain(ratewatch.rate_breaches(requests, BREACH_LIMIT, BREACH_WINDOW), "breaches")
+    return drain_parts(
+        spark,
+        "breaches",
+        lambda path: ratewatch.write_counts(requests, path, BREACH_WINDOW),
+        lambda path: ratewatch.read_breaches(spark, path, BREACH_LIMIT),
+    )
+
+
+def blank_pages(events: DataFrame) -> DataFrame:
+    """Pings of which one kind names no page, by null or by an empty text."""
+    none = F.when(F.col("event_id") % 2 == 0, F.lit(""))
+    page = F.when(F.col("event_type") != "error", testbed.page_url()).otherwise(none)
+    return events.select(F.col("event_id").alias("id"), "user_id", page.alias("dashboard_url"), "ts")
+
+
+@query
+def blank_pings_refused(spark, sf_dir):
+    return rollup.dashboard_sessions(blank_pages(testbed.read(spark, sf_dir, "events")))
+
+
+@query
+def blank_pings_refused_stream(spark, sf_dir):
+    return drain_partials(blank_pages(event_stream(spark, sf_dir)), "blanks", LOCAL_ZONE)
+
+
+@query
+def stored_sessions_report(spark, sf_dir):
+    """Sessions per day of facts stored by day, after one day was written again with fewer rows."""
+    sessions = testbed.tables(spark, sf_dir).sessions()
+    folder = run_dir(spark, "stored-sessions")
+    write_sessions(sessions, folder)
+    write_sessions(sessions.where((F.col("session_date") == F.lit(START)) & (F.col("user_id") % 2 == 0)), folder)
+    stored = from_frame(spark.read.schema(sessions.schema).parquet(folder))
+    days = stored([(START, END)]).groupBy("session_date")
+    return days.agg(F.count("id").alias("sessions"), F.sum("duration_minutes").alias("minutes"))
+
+
+@query
+def audit_log_complete(spark, sf_dir):
+    """The whole log of one position, with no limit before the filter."""
+    return audit.audit_log(testbed.tables(spark, sf_dir), position_id=POSITION, limit=None)
 
 
 # -- table upkeep ------------------------------------------------------------------------------------
@@ -576,7 +640,7 @@ def purge_types_links(spark, sf_dir):
 
 
 def extended(spark: SparkSession, sf_dir: str) -> Tables:
-    return replace(testbed.tables(spark, sf_dir), positions=upserted_positions(spark, sf_dir))
+    return replace(testbed.tables(spark, sf_dir), positions=pin(upserted_positions(spark, sf_dir)))
 
 
 @query
@@ -626,3 +690,77 @@ def credentials_ready(spark, sf_dir):
 @query
 def credentials_rejected(spark, sf_dir):
     return split_by_required(users(spark, sf_dir), ["username", "name", "email"])[1]
+
+
+# -- edits by id -----------------------------------------------------------------------------------
+
+
+def shifted_ids(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Every third id of a domain table, each with an id nobody has."""
+    ids = getattr(testbed.tables(spark, sf_dir), table).where("id % 3 = 0").select("id")
+    return ids.select(F.explode(F.array("id", F.col("id") + 1_000_000)).alias("id"))
+
+
+@query
+def update_links(spark, sf_dir):
+    wanted = shifted_ids(spark, sf_dir, "dashboard_links").withColumn("url", F.concat(F.lit("https://moved.example/"), "id"))
+    return changes.update_by_key(testbed.tables(spark, sf_dir).dashboard_links, wanted, ["id"])
+
+
+@query
+def delete_links(spark, sf_dir):
+    return removal.without(
+        testbed.tables(spark, sf_dir).dashboard_links, "id", shifted_ids(spark, sf_dir, "dashboard_links")
+    )
+
+
+@query
+def update_types(spark, sf_dir):
+    """Types renamed after the nations with their ids; ids without a type change nothing."""
+    wanted = testbed.read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")
+    )
+    return changes.update_by_key(testbed.tables(spark, sf_dir).dashboard_types, wanted, ["id"])
+
+
+@query
+def update_positions(spark, sf_dir):
+    wanted = shifted_ids(spark, sf_dir, "positions").withColumn("can_view_metrics", F.lit(True))
+    return changes.update_by_key(testbed.tables(spark, sf_dir).positions, wanted, ["id"])
+
+
+def clashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses for usernames: two different ones for some, the same one twice for others."""
+    who = testbed.read(spark, sf_dir, "customer").where("c_custkey % 4 <> 3")
+    other = F.when(F.col("c_custkey") % 4 == 0, F.lit("b@x.example")).otherwise(F.lit("a@x.example"))
+    return who.select(
+        F.lower("c_name").alias("username"), F.explode(F.array(F.lit("a@x.example"), other)).alias("email")
+    )
+
+
+@query
+def upsert_without_order(spark, sf_dir):
+    """Usernames with one change are updated, those with two are left alone."""
+    return changes.upsert(users(spark, sf_dir), clashing(spark, sf_dir), ["username"], id_column="id")
+
+
+@query
+def upsert_conflicts(spark, sf_dir):
+    return changes.conflicts(clashing(spark, sf_dir), ["username"])
+
+
+@query
+def revise_users_rejected(spark, sf_dir):
+    """Customers ask for the name of another, for names twice, and for a position nobody has."""
+    wanted = testbed.read(spark, sf_dir, "customer").where("c_custkey % 5 < 3").select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit("customer#000000003"))
+        .when(F.col("c_custkey") % 5 == 1, F.lit("twice"))
+        .otherwise(F.lower("c_name"))
+        .alias("username"),
+        F.col("c_name").alias("name"),
+        F.lit(None).cast("string").alias("email"),
+        F.lit("user").alias("role"),
+        F.array(F.lit(99).cast("long"), F.col("c_nationkey").cast("long")).alias("position_ids"),
+    )
+    return directory.revise_users(testbed.tables(spark, sf_dir), wanted).refused

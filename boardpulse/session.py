@@ -54,7 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     already_set = spark.sparkContext.getCheckpointDir()
     if already_set:
         return already_set
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # "local-cluster" has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="boardpulse-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from boardpulse.functions.calendar import DayRange, within_days
 from boardpulse.sources import schemas
 
+# Names of version folders, and of the file that says a version is complete.
+VERSION = "version-"
+COMPLETE = "_COMPLETE"
+
 SessionSource = Callable[[Sequence[DayRange]], DataFrame]
 
 
@@ -66,7 +72,9 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
 
 
 def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
-    """All domain tables stored as ``root/<table>``."""
+    """All domain tables of the newest complete version under ``root``, or stored as ``root/<table>``."""
+    versions = complete_versions(spark, root)
+    root = os.path.join(root, versions[-1]) if versions else root
     frames = {
         name: read_table(spark, os.path.join(root, name), name, fmt) for name in schemas.DOMAIN
     }
@@ -74,21 +82,44 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     return Tables(**frames, session_source=from_frame(sessions))
 
 
-def write_tables(tables: Tables, root: str) -> None:
-    """Store all tables as parquet, the facts in one folder per session day."""
+def complete_versions(spark: SparkSession, root: str) -> list[str]:
+    """Version folders whose tables were all written, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    marked = [n for n in names if n.startswith(VERSION) and system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/{COMPLETE}"))]
+    return sorted(marked)
+
+
+def write_tables(tables: Tables, root: str) -> str:
+    """Store all tables as a new version under ``root`` and return its name.
+
+    The version counts only once every table is written, so a job that fails half-way, or
+    one that reads the version before it, leaves that one whole. Old versions stay until
+    somebody removes them.
+    """
+    spark = tables.spark
+    version = f"{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = os.path.join(root, version)
     for name in schemas.DOMAIN:
         if name != "activity_sessions":
-            getattr(tables, name).write.mode("overwrite").parquet(os.path.join(root, name))
-    write_sessions(tables.sessions(), os.path.join(root, "activity_sessions"))
+            getattr(tables, name).write.parquet(os.path.join(folder, name))
+    write_sessions(tables.sessions(), os.path.join(folder, "activity_sessions"))
+    mark = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, COMPLETE))
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
+    return version
 
 
-def write_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write facts partitioned by day.
+def write_sessions(sessions: DataFrame, path: str, replace_all: bool = False) -> None:
+    """Write facts partitioned by day; the days supplied replace the stored ones, others stay.
 
     The rebalance hint gathers each day into well-sized files, yet lets the engine split
-    a day that is too big for one task.
+    a day that is too big for one task. ``replace_all`` drops the days not supplied.
     """
-    sessions.hint("rebalance", "session_date").write.mode(mode).partitionBy("session_date").parquet(path)
+    writer = sessions.hint("rebalance", "session_date").write.mode("overwrite").partitionBy("session_date")
+    writer.option("partitionOverwriteMode", "static" if replace_all else "dynamic").parquet(path)
 
 
 def drop_legacy_columns(frame: DataFrame, table: str) -> DataFrame:

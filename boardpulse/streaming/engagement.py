@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 from boardpulse.functions.calendar import LOCAL_ZONE, local_day
 from boardpulse.sources.feeds import event_time
+from boardpulse.streaming.parts import read_parts, write_parts
 from boardpulse.streaming.rollup import merge_partials
 
 # Seconds between two heartbeats, and seconds without activity that end credit.
 TICK_SECONDS = 30
 IDLE_SECONDS = 300
+# A user's history is split into spans of this length before it is sorted.
+SPAN_SECONDS = 86_400
 
 
 def _check(idle_seconds: int, tick_seconds: int) -> None:
@@ -68,22 +73,61 @@ def engaged_sessions(
     )
 
 
-def _credited_runs(activity: DataFrame, idle_seconds: int, tick_seconds: int) -> DataFrame:
-    """Grid cells with the page last used in them and how far its credit reaches."""
-    _check(idle_seconds, tick_seconds)
-    cells = (
+def activity_cells(activity: DataFrame, tick_seconds: int = TICK_SECONDS) -> DataFrame:
+    """Last instant of each user on each page in each grid cell."""
+    return (
         activity.where(F.col("user_id").isNotNull())
         .select("*", F.window("ts", f"{tick_seconds} seconds")["start"].alias("cell"))
         .groupBy("user_id", "dashboard_url", "cell")
         .agg(F.max("ts").alias("last"))
     )
-    by_time = Window.partitionBy("user_id").orderBy("last", F.asc_nulls_first("dashboard_url"))
+
+
+def _credited_runs(activity: DataFrame, idle_seconds: int, tick_seconds: int) -> DataFrame:
+    return _runs_of_cells(activity_cells(activity, tick_seconds), idle_seconds, tick_seconds)
+
+
+def _runs_of_cells(cells: DataFrame, idle_seconds: int, tick_seconds: int) -> DataFrame:
+    """Grid cells with the page last used in them and how far its credit reaches.
+
+    Credit ends after ``idle_seconds``, so only the next cells matter: a user's history is
+    split into days, and the first cells of a day stand, as ghosts, also at the end of the
+    day before. What one window sorts is one user's day, however long the history.
+    """
+    _check(idle_seconds, tick_seconds)
+    if isinstance(cells.schema["cell"].dataType, T.TimestampNTZType):
+        seconds = (F.col("cell") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("long")
+    else:
+        seconds = F.unix_seconds("cell")
+    day = F.floor(seconds / SPAN_SECONDS)
+    border = seconds % SPAN_SECONDS <= idle_seconds + tick_seconds
+    placed = cells.withColumn("span", F.explode(F.when(border, F.array(day, day - 1)).otherwise(F.array(day))))
+    placed = placed.withColumn("ghost", F.col("span") != day)
+    by_time = Window.partitionBy("user_id", "span").orderBy("last", F.asc_nulls_first("dashboard_url"))
     limit = F.col("cell") + _interval(idle_seconds)
-    return cells.withColumn("until", F.least(F.lead("cell").over(by_time), limit)).where(
-        F.col("dashboard_url").isNotNull() & (F.col("until") > F.col("cell"))
+    return (
+        placed.withColumn("until", F.least(F.lead("cell").over(by_time), limit))
+        .where(~F.col("ghost") & F.col("dashboard_url").isNotNull() & (F.col("until") > F.col("cell")))
+        .drop("span", "ghost")
     )
 
 
+def write_ticks(activity: DataFrame, path: str, tick_seconds: int = TICK_SECONDS) -> DataStreamWriter:
+    """Writer that stores each micro-batch of activity as grid cells."""
+    return write_parts(activity, path, lambda batch: activity_cells(batch, tick_seconds))
+
+
+def read_ticks(
+    spark: SparkSession, path: str, idle_seconds: int = IDLE_SECONDS, tick_seconds: int = TICK_SECONDS
+) -> DataFrame:
+    """The ticks all stored activity earns, by the batch rule."""
+    schema = T._parse_datatype_string("user_id long, dashboard_url string, cell timestamp, last timestamp")
+    cells = read_parts(spark, path, schema).groupBy("user_id", "dashboard_url", "cell").agg(F.max("last").alias("last"))
+    tick = _interval(tick_seconds)
+    runs = _runs_of_cells(cells, idle_seconds, tick_seconds)
+    return runs.select("user_id", "dashboard_url", F.explode(F.sequence(F.col("cell") + tick, F.col("until"), tick)).alias("ts"))
+
+
 def _interval(seconds: int) -> Column:
     return F.expr(f"INTERVAL {seconds} SECONDS")
 
@@ -92,9 +136,14 @@ def engaged_ticks_stream(
     activity: DataFrame,
     idle_seconds: int = IDLE_SECONDS,
     tick_seconds: int = TICK_SECONDS,
-    lateness: str = "1 hour",
+    *,
+    lateness: str,
 ) -> DataFrame:
-    """The same ticks from a stream: a sliding window of the idle limit ends at each tick."""
+    """The same ticks emitted by a stream: a sliding window of the idle limit ends at each tick.
+
+    Activity later than ``lateness`` is lost and open windows are not emitted;
+    :func:`write_ticks` has neither limit.
+    """
     _check(idle_seconds, tick_seconds)
     timed = event_time(activity).withWatermark("ts", lateness)
     span = F.window("ts", f"{idle_seconds} seconds", f"{tick_seconds} seconds")
@@ -115,11 +164,33 @@ def idle_sessions(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataF
     are reduced to extremes and counts before the shuffle; cuts are then looked for
     between cells only.
     """
-    cells = (
+    return _stays(gap_cells(activity, gap_seconds), gap_seconds)
+
+
+def gap_cells(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """First and last instant and number of activities of each user in each cell as wide as the gap."""
+    return (
         activity.select("*", F.window("ts", f"{gap_seconds} seconds")["start"].alias("cell"))
         .groupBy("user_id", "cell")
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
     )
+
+
+def write_idle_sessions(activity: DataFrame, path: str, gap_seconds: int = IDLE_SECONDS) -> DataStreamWriter:
+    """Writer that stores each micro-batch of activity as cells as wide as the gap."""
+    return write_parts(activity, path, lambda batch: gap_cells(batch, gap_seconds))
+
+
+def read_idle_sessions(spark: SparkSession, path: str, gap_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """The sessions of all stored activity, by the batch rule."""
+    schema = T._parse_datatype_string("user_id long, cell timestamp, first timestamp, last timestamp, n long")
+    merged = read_parts(spark, path, schema).groupBy("user_id", "cell").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
+    )
+    return _stays(merged, gap_seconds)
+
+
+def _stays(cells: DataFrame, gap_seconds: int) -> DataFrame:
     by_time = Window.partitionBy("user_id").orderBy("first")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.col("first") - F.lag("last").over(by_time)
@@ -137,9 +208,12 @@ def idle_sessions(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataF
 
 
 def idle_sessions_stream(
-    activity: DataFrame, gap_seconds: int = IDLE_SECONDS, lateness: str = "1 hour"
+    activity: DataFrame, gap_seconds: int = IDLE_SECONDS, *, lateness: str
 ) -> DataFrame:
-    """The same sessions from a stream, each emitted once its gap has passed."""
+    """The same sessions emitted by a stream, each once its gap and ``lateness`` have passed.
+
+    What is later or still open is not emitted; :func:`write_idle_sessions` has neither limit.
+    """
     timed = event_time(activity).withWatermark("ts", lateness)
     return (
         timed.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds"))

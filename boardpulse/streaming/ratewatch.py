@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from boardpulse.sources.feeds import event_time
+from boardpulse.streaming.parts import read_parts, write_parts
 
 # The observed window, and the requests allowed in it overall and for logins.
 WINDOW = "15 minutes"
@@ -13,29 +16,45 @@ MAX_REQUESTS = 3000
 MAX_LOGINS = 15
 
 
+def request_counts(access_log: DataFrame, window: str = WINDOW, key: str = "key") -> DataFrame:
+    """Requests of each key in each window."""
+    counted = access_log.groupBy(key, F.window("ts", window)).agg(F.count("*").alias("requests"))
+    return counted.select(
+        key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "requests"
+    )
+
+
+def over_limit(counts: DataFrame, limit: int) -> DataFrame:
+    return counts.where(F.col("requests") > limit).withColumn("excess", F.col("requests") - limit)
+
+
 def rate_breaches(
     access_log: DataFrame,
     limit: int = MAX_REQUESTS,
     window: str = WINDOW,
     key: str = "key",
-    lateness: str = "1 hour",
+    lateness: str | None = None,
 ) -> DataFrame:
     """Windows in which a key made more than ``limit`` requests, and by how many.
 
-    Works on static and streaming logs; a stream emits a window once it is closed.
+    A streaming log needs ``lateness``: it emits a window once it is closed, and loses
+    what is later or still open. :func:`write_counts` has neither limit.
     """
     timed = access_log
     if access_log.isStreaming:
+        if lateness is None:
+            raise ValueError("a streaming log needs a lateness; to keep everything, write counts instead")
         timed = event_time(access_log).withWatermark("ts", lateness)
-    return (
-        timed.groupBy(key, F.window("ts", window))
-        .agg(F.count("*").alias("requests"))
-        .where(F.col("requests") > limit)
-        .select(
-            key,
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "requests",
-            (F.col("requests") - limit).alias("excess"),
-        )
-    )
+    return over_limit(request_counts(timed, window, key), limit)
+
+
+def write_counts(access_log: DataFrame, path: str, window: str = WINDOW) -> DataStreamWriter:
+    """Writer that stores each micro-batch as requests of each key in each window."""
+    return write_parts(access_log, path, lambda batch: request_counts(batch, window))
+
+
+def read_breaches(spark: SparkSession, path: str, limit: int = MAX_REQUESTS) -> DataFrame:
+    """Breaches among all stored requests."""
+    schema = T._parse_datatype_string("key long, window_start timestamp, window_end timestamp, requests long")
+    parts = read_parts(spark, path, schema).groupBy("key", "window_start", "window_end")
+    return over_limit(parts.agg(F.sum("requests").alias("requests")), limit)

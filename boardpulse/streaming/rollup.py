@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, fixed_offset, local_day, within_days
 from boardpulse.sources.feeds import accepted_pings, event_time
+from boardpulse.sources.tables import write_sessions
+from boardpulse.streaming.parts import read_parts, write_parts
 
 # Fixed value: the page name under which a login is recorded.
 LOGIN_PORTAL = "LOGIN_PORTAL"
@@ -52,17 +55,18 @@ def login_markers(logins: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     return roll_up(marked, zone)
 
 
-def roll_up_stream(pings: DataFrame, zone: str = LOCAL_ZONE, lateness: str = "1 hour") -> DataFrame:
+def roll_up_stream(pings: DataFrame, lateness: str, zone: str = LOCAL_ZONE) -> DataFrame:
     """Streaming sessions, each emitted once when its day is over plus ``lateness``.
 
-    Days are event-time windows shifted to local midnight, which needs a zone without
-    daylight saving. For other zones and for unlimited lateness use :func:`write_partials`.
+    Pings later than that are lost and days not over are not emitted; this is the form for
+    a reader who wants each day once. :func:`write_partials` has neither limit. Days are
+    event-time windows shifted to local midnight, which needs a zone with one offset.
     """
     offset = fixed_offset(zone)
     if offset is None:
         raise ValueError(f"{zone} changes its offset; write partial sessions instead")
     shift = int(-offset.total_seconds()) % 86_400
-    timed = event_time(pings).withWatermark("ts", lateness)
+    timed = event_time(accepted_pings(pings)).withWatermark("ts", lateness)
     day = F.window("ts", "1 day", startTime=f"{shift} seconds")
     closed = timed.groupBy("user_id", "dashboard_url", day).agg(*_measures("id" in pings.columns))
     opened = closed.withColumn("opened", F.col("window.start"))
@@ -70,29 +74,35 @@ def roll_up_stream(pings: DataFrame, zone: str = LOCAL_ZONE, lateness: str = "1
 
 
 def write_partials(pings: DataFrame, path: str, zone: str = LOCAL_ZONE) -> DataStreamWriter:
-    """Writer that stores each micro-batch as partial sessions in a folder of its own.
+    """Writer that stores each micro-batch of accepted pings as partial sessions by day."""
+    return write_parts(pings, path, lambda batch: roll_up(accepted_pings(batch), zone), ("session_date",))
 
-    A repeated batch replaces its folder, so a restart never counts a ping twice. No
-    state is kept between batches and no ping is ever too late. :func:`read_partials`
-    adds the parts up; stored by day, it reads only the days asked for.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        partial = roll_up(batch, zone).hint("rebalance", "session_date")
-        partial.write.mode("overwrite").partitionBy("session_date").parquet(f"{path}/batch_id={batch_id}")
 
-    return event_time(pings).writeStream.foreachBatch(store)
+def part_schema(with_id: bool = False) -> T.StructType:
+    fields = "user_id long, dashboard_url string, session_date date, start_time timestamp, last_ping timestamp, duration_minutes long"
+    return T._parse_datatype_string(("id long, " if with_id else "") + fields)
 
 
-def read_partials(spark: SparkSession, path: str, ranges: Sequence[DayRange] = ()) -> DataFrame:
-    """Sessions as of now from the stored parts, of all days or of some.
+def read_partials(
+    spark: SparkSession, path: str, ranges: Sequence[DayRange] = (), with_id: bool = False
+) -> DataFrame:
+    """Sessions as of now from the stored parts, of all days or of some; only those days are read.
 
     As a session source: ``lambda ranges: read_partials(spark, path, ranges)``.
     """
-    parts = spark.read.parquet(path).drop("batch_id")
+    parts = read_parts(spark, path, part_schema(with_id))
     return merge_partials(parts.where(within_days(F.col("session_date"), ranges)))
 
 
+def compact_partials(spark: SparkSession, path: str, target: str, ranges: Sequence[DayRange]) -> None:
+    """Add up the parts of some days into day partitions of ``target``, replacing those days.
+
+    Meant for days that are over: their many small parts become a few files, and readers
+    of old days no longer list them.
+    """
+    write_sessions(read_partials(spark, path, ranges), target)
+
+
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Add up partial sessions; also joins newly rolled-up pings to stored sessions."""
     length = F.when(F.col("dashboard_url") == LOGIN_PORTAL, F.lit(1).cast("long")).otherwise(

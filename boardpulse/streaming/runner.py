@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from boardpulse.session import run_dir
@@ -18,9 +20,19 @@ def drain(frame: DataFrame, purpose: str) -> DataFrame:
 
 def drain_partials(pings: DataFrame, purpose: str, zone: str) -> DataFrame:
     """Store partial sessions of everything available and add them up."""
-    folder = run_dir(pings.sparkSession, purpose)
-    finish(write_partials(pings, f"{folder}/out", zone), folder)
-    return read_partials(pings.sparkSession, f"{folder}/out")
+    spark, with_id = pings.sparkSession, "id" in pings.columns
+    return drain_parts(
+        spark, purpose, lambda path: write_partials(pings, path, zone), lambda path: read_partials(spark, path, with_id=with_id)
+    )
+
+
+def drain_parts(
+    spark: SparkSession, purpose: str, write: Callable[[str], DataStreamWriter], read: Callable[[str], DataFrame]
+) -> DataFrame:
+    """Store parts of everything available and read their sum."""
+    folder = run_dir(spark, purpose)
+    finish(write(f"{folder}/out"), folder)
+    return read(f"{folder}/out")
 
 
 def finish(writer: DataStreamWriter, folder: str) -> None:

@@ -1,5 +1,6 @@
 """Feed jobs against brute force, and streams against the batch jobs."""
 
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta, timezone
@@ -13,7 +14,7 @@ from boardpulse.session import run_dir
 from boardpulse.sources import schemas
 from boardpulse.sources.feeds import accepted_pings, event_time, read_ping_stream, seed_rows, split_by_required
 from boardpulse.streaming import engagement, ratewatch, rollup
-from boardpulse.streaming.runner import drain, drain_partials, finish
+from boardpulse.streaming.runner import drain, drain_partials, drain_parts, finish
 
 ZONE = "America/Argentina/Buenos_Aires"
 START = datetime(2024, 3, 9, 22, 0, tzinfo=timezone.utc)
@@ -131,14 +132,14 @@ def flushed(rows):
 def test_stream_ticks_equal_batch(spark):
     rows = activity_rows(6, grid=True)
     folder = store_chunks(spark, seed_rows(spark, flushed(rows), schemas.PINGS).coalesce(1), 1, "act")
-    streamed = drain(engagement.engaged_ticks_stream(read_ping_stream(spark, folder)), "ticks")
+    streamed = drain(engagement.engaged_ticks_stream(read_ping_stream(spark, folder), lateness="1 hour"), "ticks")
     assert as_ticks(streamed.where("user_id <> 99")) == brute_ticks(rows)
 
 
 def test_stream_idle_sessions_equal_batch(spark):
     rows = activity_rows(7, grid=True)
     folder = store_chunks(spark, seed_rows(spark, flushed(rows), schemas.PINGS), 1, "act")
-    streamed = drain(engagement.idle_sessions_stream(read_ping_stream(spark, folder)), "idle")
+    streamed = drain(engagement.idle_sessions_stream(read_ping_stream(spark, folder), lateness="1 hour"), "idle")
     assert as_stays(streamed.where("user_id <> 99")) == brute_stays(rows, 300)
 
 
@@ -213,15 +214,56 @@ def test_partial_sessions_are_pruned_by_day(spark):
 
 def test_repeated_batch_counts_once(spark):
     pings = accepted_pings(seed_rows(spark, PINGS, schemas.PINGS))
-    source = store_chunks(spark, pings, 2, "pings")
-    stream = read_ping_stream(spark, source)
+    stream = read_ping_stream(spark, store_chunks(spark, pings, 2, "pings"))
     out = run_dir(spark, "twice")
-    # Two runs without a common progress log replay the same batch number.
-    finish(rollup.write_partials(stream, f"{out}/out", ZONE), f"{out}/first")
-    finish(rollup.write_partials(stream, f"{out}/out", ZONE), f"{out}/second")
+    finish(rollup.write_partials(stream, f"{out}/out", ZONE), f"{out}/log")
+    # Without its commit the batch is run again from the same progress log.
+    commits = [name for name in os.listdir(f"{out}/log/state/commits") if name.strip(".crc").isdigit() or name.endswith(".crc")]
+    for name in commits:
+        os.remove(f"{out}/log/state/commits/{name}")
+    finish(rollup.write_partials(stream, f"{out}/out", ZONE), f"{out}/log")
     assert lengths(rollup.read_partials(spark, f"{out}/out")) == EXPECTED
 
 
+def test_fresh_progress_log_keeps_earlier_parts(spark):
+    out = run_dir(spark, "fresh")
+    for number in (1, 2):
+        ping = seed_rows(spark, [(number, "u", START)], schemas.PINGS)
+        stream = read_ping_stream(spark, store_chunks(spark, ping, 1, "pings"))
+        finish(rollup.write_partials(stream, f"{out}/out", ZONE), f"{out}/log{number}")
+    assert sorted(row["user_id"] for row in rollup.read_partials(spark, f"{out}/out").collect()) == [1, 2]
+
+
+def test_parts_before_the_first_batch_are_empty(spark):
+    assert rollup.read_partials(spark, run_dir(spark, "none")).count() == 0
+
+
+def test_bad_pings_are_refused_on_every_path(spark):
+    bad = [(1, None, START), (1, "", START), (None, "u", START), (2, "u", START)]
+    pings = seed_rows(spark, bad, schemas.PINGS)
+    stream = read_ping_stream(spark, store_chunks(spark, pings, 1, "pings"))
+    assert [row["user_id"] for row in drain_partials(stream, "bad", ZONE).collect()] == [2]
+    assert [row["user_id"] for row in rollup.dashboard_sessions(pings).collect()] == [2]
+
+
+@pytest.mark.parametrize("kind", ["ticks", "idle"])
+def test_stored_cells_equal_batch_over_days_and_late_files(spark, kind):
+    rows = activity_rows(6, grid=True)
+    rows += [(user, url, at + timedelta(hours=23, minutes=58)) for user, url, at in rows]
+    folder = store_chunks(spark, seed_rows(spark, rows, schemas.PINGS), 4, "act")
+    stream = spark.readStream.schema(schemas.PINGS).option("maxFilesPerTrigger", 1).json(folder)
+    if kind == "ticks":
+        found = drain_parts(
+            spark, "t", lambda path: engagement.write_ticks(stream, path), lambda path: engagement.read_ticks(spark, path)
+        )
+        assert as_ticks(found) == brute_ticks(rows)
+    else:
+        found = drain_parts(
+            spark, "i", lambda path: engagement.write_idle_sessions(stream, path), lambda path: engagement.read_idle_sessions(spark, path)
+        )
+        assert as_stays(found) == brute_stays(rows, 300)
+
+
 def test_closed_days_stream_and_late_ping(spark):
     pings = accepted_pings(seed_rows(spark, PINGS, schemas.PINGS))
     folder = run_dir(spark, "late")
@@ -233,7 +275,7 @@ def test_closed_days_stream_and_late_ping(spark):
     state = run_dir(spark, "late-state")
 
     def run():
-        closed = rollup.roll_up_stream(read_ping_stream(spark, folder), ZONE)
+        closed = rollup.roll_up_stream(read_ping_stream(spark, folder), "1 hour", "Etc/GMT+3")
         finish(closed.writeStream.format("parquet").option("path", f"{state}/out"), state)
         return closed.schema
 
@@ -248,7 +290,7 @@ def test_closed_days_stream_and_late_ping(spark):
 
 def test_shifting_zone_needs_partials(spark):
     with pytest.raises(ValueError):
-        rollup.roll_up_stream(seed_rows(spark, PINGS, schemas.PINGS), "Europe/Madrid")
+        rollup.roll_up_stream(seed_rows(spark, PINGS, schemas.PINGS), "1 hour", "Europe/Madrid")
 
 
 def test_merge_of_stored_and_new_sessions(spark):
@@ -267,7 +309,7 @@ def test_breaches_batch_and_stream(spark):
     folder = run_dir(spark, "access")
     log.unionByName(seed_rows(spark, [(3, START + timedelta(days=1))], schemas.ACCESS_LOG)).coalesce(1).write.json(folder)
     stream = read_ping_stream(spark, folder, schema=schemas.ACCESS_LOG)
-    assert drain(ratewatch.rate_breaches(stream, ratewatch.MAX_LOGINS), "breach").collect() == found
+    assert drain(ratewatch.rate_breaches(stream, ratewatch.MAX_LOGINS, lateness="1 hour"), "breach").collect() == found
 
 
 def test_required_fields(spark):

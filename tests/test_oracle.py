@@ -4,8 +4,8 @@ import pytest
 from oracle_check import connect, differences
 
 import __spark_entry__ as entry_module
-
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+from boardpulse.oracle import ORACLE
+from boardpulse.registry import QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -15,7 +15,7 @@ from boardpulse.session import run_dir
 from boardpulse.sources import schemas
 from boardpulse.sources.feeds import seed_rows
 from boardpulse.sources.sinks import write_document, write_rows
-from boardpulse.sources.tables import drop_legacy_columns, read_tables, write_tables
+from boardpulse.sources.tables import drop_legacy_columns, read_tables, write_sessions, write_tables
 
 A = "https://a"
 
@@ -183,6 +183,38 @@ def test_stored_tables_round_trip_and_prune_days(spark, tables):
     assert rows(stored.sessions((DAY, DAY)).select("id"), "id") == [(1,), (2,)]
 
 
+def test_tables_read_purged_and_written_to_the_same_root(spark, tables):
+    root = run_dir(spark, "same-root")
+    write_tables(tables, root)
+    stored = read_tables(spark, root)
+    gone = stored.users.select("id").orderBy("id").limit(1)
+    number = gone.first()[0]
+    before = {name: getattr(stored, name).count() for name in ("positions", "dashboard_types", "dashboard_links")}
+    write_tables(removal.purge_users(stored, gone), root)
+    again = read_tables(spark, root)
+    assert {name: getattr(again, name).count() for name in before} == before
+    assert again.users.where(f"id = {number}").isEmpty() and again.sessions().where(f"user_id = {number}").isEmpty()
+    assert stored.users.where(f"id = {number}").count() == 1  # the old version is whole
+
+
+def test_unfinished_version_does_not_count(spark, tables):
+    root = run_dir(spark, "unfinished")
+    write_tables(tables, root)
+    spark.range(1).write.parquet(f"{root}/version-99999999999999999999-broken/users")
+    assert read_tables(spark, root).users.count() == tables.users.count()
+
+
+def test_writing_a_day_keeps_the_others(spark, tables):
+    folder = run_dir(spark, "days")
+    sessions = tables.sessions()
+    write_sessions(sessions, folder)
+    days = sorted(row[0] for row in sessions.select("session_date").distinct().collect())
+    write_sessions(sessions.where(F.col("session_date") == F.lit(days[0])).limit(1), folder)
+    stored = spark.read.schema(sessions.schema).parquet(folder)
+    assert stored.where(F.col("session_date") == F.lit(days[0])).count() == 1
+    assert sorted(row[0] for row in stored.select("session_date").distinct().collect()) == days
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json", "orc"])
 def test_other_formats(spark, tables, fmt):
     root = run_dir(spark, fmt)
