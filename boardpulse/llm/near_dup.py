@@ -18,7 +18,8 @@ k-mers. Texts at 0.8 or more are linked, classes are the connected components.
    pair of blocks is one piece of work for any task, and in it the numbers of common
    k-mers come from one sparse product. No member is left out and no bucket has a cap.
 4. Candidates with enough common k-mers are verified exactly: those within the band that
-   the threshold allows are chained in order.
+   the threshold allows are chained in order. For this step words are kept as the lower
+   half of their 32-bit codes, so a changed word passes as unchanged once in 65,536.
 
 Defined results: null and empty texts, and texts without words, are copies of each other
 if they are equal as strings, and near nothing else; a null id is kept in its class but is
@@ -183,7 +184,7 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
                         "words_key": pa.array(keys, pa.binary()),
                         "doc_id": batch.column(0),
                         "n": pa.array(sizes),
-                        "codes": pa.array([c.astype("<u4").tobytes() for c in coded], pa.binary()),
+                        "codes": pa.array([c.astype("<u2").tobytes() for c in coded], pa.binary()),
                         "buckets": pa.array(buckets, pa.list_(pa.int64())),
                     }
                 )
@@ -230,7 +231,7 @@ def _joining(pairs: list[list[int]], labels: list[int], test: Callable[[int, int
 
 
 def _within_buckets(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Links (a, b) that join the classes of each bucket; rows hold bucket, node, label and size."""
+    """Pairs of classes (a, b) that links within a bucket join; rows hold bucket, node, label and size."""
     n_blocks = F.ceil(F.col("size") / GROUP).cast("int")
     placed = rows.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
@@ -240,18 +241,18 @@ def _within_buckets(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, 3):
-            names, labels, blocks = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            labels, blocks = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             differ = labels[:, None] != labels[None, :]
             if batch.column(1)[0] != batch.column(2)[0]:
                 differ &= blocks[:, None] != blocks[None, :]
             linked: list[tuple[int, int]] = []
             if differ.any():
-                runs = [kmers(np.frombuffer(c, "<u4")) for c in batch.column(6).to_pylist()]
+                runs = [kmers(np.frombuffer(c, "<u2")) for c in batch.column(6).to_pylist()]
                 sizes = np.array([len(r) for r in runs], np.float64)
                 need = THRESHOLD * (sizes[:, None] + sizes[None, :]) / (1 + THRESHOLD) - 1e-6
                 likely = np.triu(differ & (common_counts(runs) >= need), 1)
                 linked = _joining(np.argwhere(likely).tolist(), labels.tolist(), lambda x, y: aligned(runs[x], runs[y]))
-            a, b = names[[x for x, _ in linked]], names[[y for _, y in linked]]
+            a, b = labels[[x for x, _ in linked]], labels[[y for _, y in linked]]
             yield encode_frame({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return in_arrow(grouped, compare, "a long, b long")
@@ -268,9 +269,9 @@ def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
             linked = []
             for a, code_a, code_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if a != last:
-                    last, run = a, kmers(np.frombuffer(code_a, "<u4"))
+                    last, run = a, kmers(np.frombuffer(code_a, "<u2"))
                     order = np.argsort(run, kind="stable")
-                linked.append(aligned(run, kmers(np.frombuffer(code_b, "<u4")), order=order))
+                linked.append(aligned(run, kmers(np.frombuffer(code_b, "<u2")), order=order))
             yield encode_frame({"a": batch.column(0), "b": batch.column(1), "linked": pa.array(linked, pa.bool_())})
 
     return in_arrow(both.select("a", "b", "a_codes", "b_codes"), check, "a long, b long, linked boolean")
@@ -306,11 +307,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = stored(labelled, "labelled")
     spans = labelled.groupBy("bucket").agg(F.min("label").alias("lowest"), F.max("label").alias("highest"))
     mixed = stored(spans.where("lowest != highest").select("bucket"), "mixed")
-    more = stored(_within_buckets(labelled.join(mixed, "bucket"), codes), "links")
-    labels = components(links.unionByName(more))
+    more = stored(_within_buckets(labelled.join(mixed, "bucket"), codes).distinct(), "links")
+    roots = components(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
 
     classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "classes")
     names = stored(classes.groupBy("label").agg(F.min("low_id").alias("class_id")), "names")
     of_key = stored(classes.join(names, "label").select("words_key", "class_id"), "of-key")
     out = signed.select("words_key", F.col("doc_id")).join(of_key, "words_key")
