@@ -81,31 +81,36 @@ class UsageReport:
         if active:
             ranges.append(self.active_range)
         facts = self.tables.sessions(*ranges)
-        measures = []
-        if base:
-            name = self.params.dashboard_name
-            weights = url_weights(self.tables.dashboard_links, self.tables.dashboard_types, name)
-            default = 1 if name is None else 0
-            facts = facts.join(weights, F.col("dashboard_url") == F.col("_url"), "left").withColumn(
-                "weight", F.coalesce("weight", F.lit(default))
-            )
-        for prefix in base:
-            weight = F.when(self._in(compared[prefix].as_range()), F.col("weight"))
-            measures += [
-                F.coalesce(F.sum(weight), F.lit(0)).alias(f"{prefix}_base_sessions"),
-                F.coalesce(F.sum(weight * F.col("duration_minutes")), F.lit(0)).alias(
-                    f"{prefix}_base_minutes"
-                ),
-            ]
+        here = self._in(self.period.as_range())
+        firsts, sums = [], []
         if totals:
-            here = self._in(self.period.as_range())
-            measures += [
+            firsts += [
                 F.count(F.when(here, F.col("id"))).alias("sessions"),
                 F.sum(F.when(here, F.col("duration_minutes"))).alias("minutes"),
             ]
+            sums += [F.sum("sessions").alias("sessions"), F.sum("minutes").alias("minutes")]
         if active:
-            measures.append(F.bool_or(self._in(self.active_range)).alias("active"))
-        return self._without_admins(facts.groupBy("user_id").agg(*measures))
+            firsts.append(F.bool_or(self._in(self.active_range)).alias("active"))
+            sums.append(F.bool_or("active").alias("active"))
+        if not base:
+            return self._without_admins(facts.groupBy("user_id").agg(*firsts))
+        # Weights belong to pages: facts are reduced to one row per user and page before they meet.
+        for prefix in base:
+            inside = self._in(compared[prefix].as_range())
+            firsts += [
+                F.count(F.when(inside, F.lit(1))).alias(f"_{prefix}_n"),
+                F.sum(F.when(inside, F.col("duration_minutes"))).alias(f"_{prefix}_minutes"),
+            ]
+            for measure, name in (("n", "sessions"), ("minutes", "minutes")):
+                weighted = F.sum(F.col("weight") * F.col(f"_{prefix}_{measure}"))
+                sums.append(F.coalesce(weighted, F.lit(0)).alias(f"{prefix}_base_{name}"))
+        name = self.params.dashboard_name
+        weights = url_weights(self.tables.dashboard_links, self.tables.dashboard_types, name)
+        pages = facts.groupBy("user_id", "dashboard_url").agg(*firsts)
+        weighed = pages.join(weights, F.col("dashboard_url") == F.col("_url"), "left").withColumn(
+            "weight", F.coalesce("weight", F.lit(1 if name is None else 0))
+        )
+        return self._without_admins(weighed.groupBy("user_id").agg(*sums))
 
     def _without_admins(self, frame: DataFrame) -> DataFrame:
         if not self.params.exclude_admins:
@@ -204,12 +209,14 @@ class UsageReport:
 
     def over_time(self) -> DataFrame:
         """Sessions per day, days without any included."""
+        return self._over_time().orderBy("date")
+
+    def _over_time(self) -> DataFrame:
         daily = self._per_url_day().groupBy("session_date").agg(F.sum("sessions").alias("_count"))
         spine = day_spine(self.tables.spark, self.period)
         return (
             spine.join(daily, F.col("date") == F.col("session_date"), "left")
             .select("date", F.coalesce("_count", F.lit(0)).cast("long").alias("count"))
-            .orderBy("date")
         )
 
     def _by_dashboard(self) -> DataFrame:
@@ -236,6 +243,9 @@ class UsageReport:
 
     def by_position(self) -> DataFrame:
         """Sessions per position name, once for each position of the user."""
+        return self._by_position().orderBy(F.desc("count"), F.asc_nulls_last("name"))
+
+    def _by_position(self) -> DataFrame:
         held = self.tables.user_positions.join(
             self.tables.positions.select(F.col("id").alias("_position"), "name"),
             F.col("position_id") == F.col("_position"),
@@ -245,7 +255,6 @@ class UsageReport:
             active.join(held, F.col("user_id") == F.col("_holder"))
             .groupBy("name")
             .agg(F.sum("sessions").alias("count"))
-            .orderBy(F.desc("count"), F.asc_nulls_last("name"))
         )
 
     def engagement(self) -> DataFrame:
@@ -326,12 +335,12 @@ class UsageReport:
         kpis = report.kpis()
         sections = {
             "kpis": kpis.select(F.struct(*kpis.columns).alias("kpis")),
-            "over_time": _as_array(report.over_time(), [F.col("date")]),
-            "by_dashboard": _as_array(report.by_dashboard(), [-F.col("count"), F.col("name")]),
-            "by_position": _as_array(report.by_position(), [-F.col("count"), F.col("name")]),
+            "over_time": _as_array(report._over_time(), [F.col("date")]),
+            "by_dashboard": _as_array(report._by_dashboard(), [-F.col("count"), *_nulls_last("name")]),
+            "by_position": _as_array(report._by_position(), [-F.col("count"), *_nulls_last("name")]),
             "engagement": _as_array(report.engagement(), [F.array_position(
                 F.array(*[F.lit(name) for name in SEGMENTS]), F.col("segment"))]),
-            "top_users": _as_array(report.top_users(), [-F.col("sessions"), F.col("name")]),
+            "top_users": _as_array(report.top_users(), [-F.col("sessions"), *_nulls_last("name")]),
         }
         body = F.struct(*[frame.scalar().alias(name) for name, frame in sections.items()])
         return self.tables.spark.range(1).select(
@@ -375,6 +384,10 @@ class UsageReport:
         return kpis.select(F.inline(F.array(*rows))).orderBy("position")
 
 
+def _nulls_last(name: str) -> list[Column]:
+    return [F.col(name).isNull(), F.col(name)]
+
+
 def _as_array(frame: DataFrame, order_by: list[Column]) -> DataFrame:
     """A short result as one ordered array of structs; empty when there are no rows."""
     keys = [key.alias(f"_{number}") for number, key in enumerate(order_by)]
