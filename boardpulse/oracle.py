@@ -356,17 +356,36 @@ PERIODS = " UNION ALL ".join(
     ]
 )
 
+def _doubled(check: str, key: str, source: str) -> str:
+    return f"SELECT '{check}' AS check, {key} AS key, count(*) AS rows FROM {source} GROUP BY 2 HAVING count(*) > 1"
+
+
+def _dangling(column: str, child: str, source: str, parent: str) -> str:
+    return (
+        f"SELECT '{child}.{column}', CAST({column} AS VARCHAR), count(*) FROM {source} "
+        f"WHERE {column} NOT IN (SELECT id FROM {parent}) GROUP BY 2"
+    )
+
+
 FINDINGS = f"""
-  left_users AS (SELECT * FROM users WHERE id NOT IN {IN_DEBT}),
+  left_users AS (SELECT * FROM users WHERE id NOT IN {IN_DEBT}
+                 UNION ALL SELECT id + 1000000, username, name, email, role FROM users WHERE id % 50 = 1),
   all_positions AS (SELECT id, name FROM positions UNION ALL SELECT seq, name FROM wanted),
+  all_pairs AS (SELECT * FROM user_positions UNION ALL SELECT * FROM user_positions WHERE user_id % 7 = 0
+                UNION ALL SELECT user_id, 999 FROM user_positions WHERE user_id % 13 = 0),
+  all_links AS (SELECT position_id, dashboard_type_id FROM dashboard_links
+                UNION ALL SELECT 999, 99 FROM dashboard_links WHERE id % 5 = 0),
+  all_sessions AS (SELECT * FROM sessions UNION ALL SELECT * FROM sessions WHERE user_id % 11 = 0),
   found AS (
-    SELECT 'positions.name' AS check, name AS key, count(*) AS rows FROM all_positions GROUP BY name HAVING count(*) > 1
-    UNION ALL
-    SELECT 'user_positions.user_id', CAST(user_id AS VARCHAR), count(*) FROM user_positions
-    WHERE user_id NOT IN (SELECT id FROM left_users) GROUP BY user_id
-    UNION ALL
-    SELECT 'sessions.user_id', CAST(user_id AS VARCHAR), count(*) FROM sessions
-    WHERE user_id NOT IN (SELECT id FROM left_users) GROUP BY user_id)"""
+    {_doubled('users.username', 'username', 'left_users')}
+    UNION ALL {_doubled('positions.name', 'name', 'all_positions')}
+    UNION ALL {_doubled('user_positions.pair', "user_id || '|' || position_id", 'all_pairs')}
+    UNION ALL {_doubled('sessions.key', "user_id || '|' || dashboard_url || '|' || session_date", 'all_sessions')}
+    UNION ALL {_dangling('user_id', 'user_positions', 'all_pairs', 'left_users')}
+    UNION ALL {_dangling('position_id', 'user_positions', 'all_pairs', 'all_positions')}
+    UNION ALL {_dangling('position_id', 'dashboard_links', 'all_links', 'all_positions')}
+    UNION ALL {_dangling('dashboard_type_id', 'dashboard_links', 'all_links', 'dashboard_types')}
+    UNION ALL {_dangling('user_id', 'sessions', 'all_sessions', 'left_users')})"""
 
 LOADED = """
   all_positions AS (

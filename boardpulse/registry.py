@@ -657,14 +657,24 @@ def delete_positions(spark, sf_dir):
 
 @query
 def integrity_audit(spark, sf_dir):
-    """Findings after careless edits: users deleted alone, position changes appended."""
+    """Findings after careless edits that break every rule once."""
     tables = testbed.tables(spark, sf_dir)
+    people, pairs, links, sessions = tables.users, tables.user_positions, tables.dashboard_links, tables.sessions()
+    left = removal.without(people, "id", overdrawn(spark, sf_dir).select("c_custkey"))
+    again = people.where("id % 50 = 1").withColumn("id", F.col("id") + 1_000_000)
+    nowhere = pairs.where("user_id % 13 = 0").withColumn("position_id", F.lit(999).cast("long"))
+    lost = links.where("id % 5 = 0").withColumns(
+        {"position_id": F.lit(999).cast("long"), "dashboard_type_id": F.lit(99).cast("long")}
+    )
     careless = replace(
         tables,
-        users=removal.without(tables.users, "id", overdrawn(spark, sf_dir).select("c_custkey")),
+        users=left.unionByName(again),
         positions=tables.positions.unionByName(
             position_changes(spark, sf_dir).withColumnRenamed("seq", "id")
         ),
+        user_positions=pairs.unionByName(pairs.where("user_id % 7 = 0")).unionByName(nowhere),
+        dashboard_links=links.unionByName(lost),
+        session_source=from_frame(sessions.unionByName(sessions.where("user_id % 11 = 0"))),
     )
     return integrity.audit(careless)
 
