@@ -74,7 +74,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -50, 50)))
 
 
-def fit(vectors: np.ndarray, labels: np.ndarray, towards_pooled: float = 0.05, towards_diagonal: float = 0.1) -> QualityModel:
+def fit(vectors: np.ndarray, labels: np.ndarray, towards_pooled: float = 0.15, towards_diagonal: float = 0.1) -> QualityModel:
     """Shrunken class covariances; a floor on variances keeps constant statistics harmless."""
     if len(set(labels.tolist())) < 2:
         return QualityModel()
