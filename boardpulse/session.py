@@ -62,9 +62,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_runs: dict[str, list[str]] = {}
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of :func:`shared_dir` for one run."""
-    return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A fresh sub-folder of :func:`shared_dir` for one run; :func:`clear_runs` removes it."""
+    folder = os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    _runs.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_runs(spark: SparkSession) -> int:
+    """Remove the folders of all runs of this application, once their readers are done."""
+    folders = _runs.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def pin(frame: DataFrame) -> DataFrame:
