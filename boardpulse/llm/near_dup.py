@@ -319,14 +319,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` that name their class, with all their columns; of rows with one id and class one stays."""
+    """Rows of ``docs`` that name their class, with all their columns.
+
+    An id names a document here: of several rows with one id, null included, one stays.
+    """
     keepers = near_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias("kept_id")).distinct()
     keepers = stored(keepers, "keepers")
     kept = docs.join(keepers, docs[id_column].cast("long").eqNullSafe(keepers["kept_id"]), "left_semi")
     again = stored(docs.groupBy(F.col(id_column).alias("again_id")).count().where("count > 1").select("again_id"), "again")
     if again.isEmpty():
         return kept
-    # Ids that several rows carry: the first of their texts stays.
+    # Ids that several rows carry.
     single = kept.join(again, kept[id_column].eqNullSafe(again["again_id"]), "left_anti")
     several = kept.join(again, kept[id_column].eqNullSafe(again["again_id"]), "left_semi").dropDuplicates([id_column])
     return single.unionByName(several)
