@@ -123,6 +123,27 @@ def test_vectors_equal_brute_force(spark):
     assert link_vectors(frame.limit(0)).count() == 0
 
 
+BY_LISTS: dict = {}
+
+
+def nested_groups(seed, groups, members, dims=16):
+    """Vectors all linked with each other, in tight groups larger than a neighbour list."""
+    rng = np.random.default_rng(seed)
+    near = lambda v, scale: v / np.linalg.norm(v) + rng.normal(scale=scale / np.sqrt(dims), size=dims)
+    top = rng.normal(size=dims)
+    return np.array([near(centre, 0.01) for centre in (near(top, 0.15) for _ in range(groups)) for _ in range(members)])
+
+
+def test_links_between_saturated_groups(spark):
+    vectors = np.concatenate([nested_groups(6, 12, 20), nested_groups(7, 3, 30)])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in link_vectors(frame, **BY_LISTS).collect()}
+    assert [found[k]["n_links"] for k in range(len(vectors))] == (links.sum(1) - 1).tolist()
+    assert {found[k]["component_id"] for k in range(240)} == {0} and {found[k]["component_id"] for k in range(240, 330)} == {240}
+
+
 ROWS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "\nyes <|im_end|>"), (1, None, "system", None), (2, 0, "assistant", ""), (2, 1, None, "x" * 50_000),
     (3, 5, "assistant", HOSTILE), (3, 5, "assistant", HOSTILE), (None, 0, "assistant", "alone"), (4, 0, "us\ner<|n", "<|\\ \u00e9\U0001f642<"),
