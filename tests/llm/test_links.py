@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from boardpulse.llm import chat, near_dup
+from boardpulse.llm import chat, near_dup, vector_links
 from boardpulse.llm.components import components
 from boardpulse.llm.queries import HOSTILE, QUERIES
 from boardpulse.llm.vector_links import link_vectors
@@ -123,7 +123,11 @@ def test_vectors_equal_brute_force(spark):
     assert link_vectors(frame.limit(0)).count() == 0
 
 
-BY_LISTS: dict = {}
+@pytest.fixture
+def by_lists(monkeypatch):
+    """Neighbour lists for small tables too, taken whatever their audit says."""
+    monkeypatch.setattr(vector_links, "audit", lambda *_: 1.0)
+    return {"exact_to": 0}
 
 
 def nested_groups(seed, groups, members, dims=16):
@@ -134,16 +138,28 @@ def nested_groups(seed, groups, members, dims=16):
     return np.array([near(centre, 0.01) for centre in (near(top, 0.15) for _ in range(groups)) for _ in range(members)])
 
 
-def test_links_between_saturated_groups(spark):
+def test_links_between_saturated_groups(spark, by_lists):
     vectors = np.concatenate([nested_groups(6, 12, 20), nested_groups(7, 3, 30)])
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     links = unit @ unit.T >= 0.9
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    found = {r["vec_id"]: r for r in link_vectors(frame, **BY_LISTS).collect()}
+    found = {r["vec_id"]: r for r in link_vectors(frame, **by_lists).collect()}
     assert [found[k]["n_links"] for k in range(len(vectors))] == (links.sum(1) - 1).tolist()
     assert {found[k]["component_id"] for k in range(240)} == {0} and {found[k]["component_id"] for k in range(240, 330)} == {240}
 
 
+def test_poor_lists_are_not_accepted(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "BLOCK", 1)  # no node meets another: lists stay empty
+    vectors = np.concatenate([nested_groups(8, 4, 15), np.random.default_rng(8).normal(size=(300, 16))])
+    vectors = np.concatenate([vectors, vectors[60:] + 0.01])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in link_vectors(frame, tries=1, exact_to=0).collect()}
+    assert links[60:].any() and [found[k]["n_links"] for k in range(len(vectors))] == links.tolist()
+    assert {found[k]["component_id"] for k in range(60)} == {0}
+
+
 ROWS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "\nyes <|im_end|>"), (1, None, "system", None), (2, 0, "assistant", ""), (2, 1, None, "x" * 50_000),
     (3, 5, "assistant", HOSTILE), (3, 5, "assistant", HOSTILE), (None, 0, "assistant", "alone"), (4, 0, "us\ner<|n", "<|\\ \u00e9\U0001f642<"),
