@@ -10,8 +10,11 @@ k-mers. Texts at 0.8 or more are linked, classes are the connected components.
 1. Texts with the same words are one node from the start, whatever their number.
 2. Order MinHash: each of ``TABLES`` hash functions samples the ``DEPTH`` k-mers with the
    smallest values and keeps them in the order of the text; nodes with equal samples of a
-   function share a bucket. At similarity 0.8 a pair misses all buckets about once in
-   3,000; at 0.5 it shares each with a chance of 3 %.
+   function share a bucket. At similarity 0.8 a pair of long texts misses all buckets about
+   once in 3,000; at 0.5 it shares each with a chance of 3 %. Texts of at most ``SHORT``
+   k-mers take an exact way instead: ordered from rare to common, the first
+   n - ceil(0.8 n) + 1 k-mers of both texts of a linked pair have one in common, so each of
+   these is a bucket, also for texts that are too long but can be near a short one.
 3. In every bucket the members are compared with the first one. Buckets that are one class
    then are done, with work linear in their size. In the others every two members of
    different classes are compared: the members are dealt into blocks of ``GROUP``, every
@@ -37,7 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardpulse.llm.components import components
@@ -45,12 +48,14 @@ from boardpulse.llm.shared import encode_frame, in_arrow, slices, stored, whole_
 
 K, TABLES, DEPTH = 5, 20, 5
 THRESHOLD = 0.8
+SHORT = 30
+NEAR_SHORT = int(SHORT / THRESHOLD)  # no longer text is near a short one
 GROUP = 128
 MOST_WORDS = 600_000
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_SIGNED = "words_key binary, doc_id long, n long, codes binary, buckets array<long>"
+_SIGNED = "words_key binary, doc_id long, n long, codes binary, buckets array<long>, runs array<long>"
 
 
 class _Codes(dict):
@@ -159,7 +164,7 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, order: n
 
 
 def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row: key of its words, id, number of k-mers, word codes and buckets."""
+    """Per row: key of its words, id, number of k-mers, word codes, buckets (long texts) and k-mers (short texts)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -169,7 +174,7 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
                 coded = [word_codes(text, codes) for text in texts]
                 runs = [kmers(c) for c in coded]
                 sizes = np.array([len(r) for r in runs], np.int64)
-                full = np.flatnonzero(sizes)
+                full = np.flatnonzero(sizes > SHORT)
                 buckets: list = [[]] * len(texts)
                 if len(full):
                     found = order_minhash(np.concatenate([runs[i] for i in full]), sizes[full]).view(np.int64)
@@ -186,6 +191,7 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
                         "n": pa.array(sizes),
                         "codes": pa.array([c.astype("<u2").tobytes() for c in coded], pa.binary()),
                         "buckets": pa.array(buckets, pa.list_(pa.int64())),
+                        "runs": pa.array([r.view(np.int64) if len(r) <= NEAR_SHORT else [] for r in runs], pa.list_(pa.int64())),
                     }
                 )
 
@@ -193,6 +199,16 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     return in_arrow(rows, sign, _SIGNED)
 
 
+def _short_buckets(firsts: DataFrame) -> DataFrame:
+    """Buckets (node, n, bucket) of the rarest k-mers of short texts; k-mers of a single text make none."""
+    runs = stored(firsts.where(F.size("runs") > 0).select("node", "n", F.explode("runs").alias("run")), "runs")
+    times = runs.groupBy("run").agg(F.count(F.lit(1)).alias("times"))
+    rarest = Window.partitionBy("node").orderBy("times", "run")
+    needed = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
+    first = runs.join(times, "run").withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= needed) & (F.col("times") > 1))
+    return first.select("node", "n", F.xxhash64(F.lit("short"), "run").alias("bucket"))
+
+
 def common_counts(runs: list[np.ndarray]) -> np.ndarray:
     """Number of common labelled k-mers of every two texts."""
     sizes = np.array([len(r) for r in runs])
@@ -283,8 +299,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # One node per distinct sequence of words, named by its first row.
     nodes = stored(signed.groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low_id")), "nodes")
 
-    firsts = signed.select(F.col("row").alias("node"), "n", "buckets").join(nodes.select("node"), "node")
-    spread = stored(firsts.select("node", "n", F.explode("buckets").alias("bucket")), "spread")
+    firsts = signed.select(F.col("row").alias("node"), "n", "buckets", "runs").join(nodes.select("node"), "node")
+    spread = firsts.select("node", "n", F.explode("buckets").alias("bucket"))
+    spread = stored(spread.unionByName(_short_buckets(firsts)), "spread")
     shared = stored(
         spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "shared"
     )

@@ -88,6 +88,25 @@ def test_classes_equal_brute_force(spark, make_docs, monkeypatch, group):
     assert all(r["kept"] == (r["class_id"] == r["doc_id"]) for r in found)
 
 
+def short_texts(seed, bases=120):
+    """Titles and captions, each with and without one word before, after or exchanged."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for b in range(bases):
+        words = [f"b{b}w{k}" for k in range(rng.integers(8, 45))]
+        line = ["all", "of", "them", "share", "this", "line"] if b % 3 == 0 else []
+        out += [" ".join(line + words), " ".join([*line, f"x{b}", *words]), " ".join([*line, *words, f"y{b}"])]
+        words[-1] = f"z{b}"
+        out.append(" ".join(line + words))
+    return out
+
+
+def test_short_near_duplicates_equal_brute_force(make_docs):
+    texts = short_texts(3)
+    found = near_dup.near_duplicates(make_docs(list(enumerate(texts)))).collect()
+    assert [r["class_id"] for r in sorted(found, key=lambda r: r["doc_id"])] == brute_classes(texts)
+
+
 def test_near_duplicates_of_odd_rows(make_docs):
     rows = [(None, "same text here as there"), (2, "same text here as there"), (2, "same text here as there"), (3, None), (4, "")]
     found = near_dup.near_duplicates(make_docs(rows)).collect()
