@@ -163,7 +163,7 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, order: n
     return len(tails) >= need
 
 
-def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def signed_texts(docs: DataFrame, id_column: str, text_column: str, prints: bool = False) -> DataFrame:
     """Per row: key of its words, id, number of k-mers, word codes, buckets (long texts) and k-mers (short texts)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +184,7 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
                     hashlib.blake2b(c.tobytes() if len(c) else b"=" + (t or "").encode("utf-8", "replace"), digest_size=16, person=b"words" if len(c) else b"text").digest()
                     for c, t in zip(coded, texts)
                 ]
+                hashes = {name: batch.column(2 + k) for k, name in enumerate(("p1", "p2") if prints else ())}
                 yield encode_frame(
                     {
                         "words_key": pa.array(keys, pa.binary()),
@@ -192,10 +193,14 @@ def signed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
                         "codes": pa.array([c.astype("<u2").tobytes() for c in coded], pa.binary()),
                         "buckets": pa.array(buckets, pa.list_(pa.int64())),
                         "runs": pa.array([r.view(np.int64) if len(r) <= NEAR_SHORT else [] for r in runs], pa.list_(pa.int64())),
+                        **hashes,
                     }
                 )
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    if prints:
+        first, second = _prints(F.col("text"))
+        return in_arrow(rows.select("id", "text", first, second), sign, _SIGNED + ", p1 long, p2 long")
     return in_arrow(rows, sign, _SIGNED)
 
 
@@ -293,9 +298,8 @@ def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     return in_arrow(both.select("a", "b", "a_codes", "b_codes"), check, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, class_id (smallest id of the class), kept (it names the class)."""
-    signed = stored(signed_texts(docs, id_column, text_column).withColumn("row", F.monotonically_increasing_id()), "signed")
+def _classified(signed: DataFrame) -> DataFrame:
+    """Key of the words and smallest id of the class (label) for every node of ``signed``."""
     # One node per distinct sequence of words, named by its first row.
     nodes = stored(signed.groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low_id")), "nodes")
 
@@ -330,23 +334,45 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = stored(classes.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "classes")
     names = stored(classes.groupBy("label").agg(F.min("low_id").alias("class_id")), "names")
-    of_key = stored(classes.join(names, "label").select("words_key", "class_id"), "of-key")
-    out = signed.select("words_key", F.col("doc_id")).join(of_key, "words_key")
+    return stored(classes.join(names, "label").select("words_key", "class_id", "label"), "of-key")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, class_id (smallest id of the class), kept (it names the class)."""
+    signed = stored(signed_texts(docs, id_column, text_column).withColumn("row", F.monotonically_increasing_id()), "signed")
+    out = signed.select("words_key", F.col("doc_id")).join(_classified(signed).drop("label"), "words_key")
     return out.select(F.col("doc_id").alias(id_column), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _prints(text: Column) -> list[Column]:
+    """Two hashes of a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` that name their class, with all their columns.
+    """One row of ``docs`` for every class, with all its columns.
 
-    An id names a document here: of several rows with one id, null included, one stays.
+    The row has the smallest id of the class, null only if all are null; ids that rows of
+    different classes share, null included, do not make them copies.
     """
-    keepers = near_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias("kept_id")).distinct()
-    keepers = stored(keepers, "keepers")
-    kept = docs.join(keepers, docs[id_column].cast("long").eqNullSafe(keepers["kept_id"]), "left_semi")
-    again = stored(docs.groupBy(F.col(id_column).alias("again_id")).count().where("count > 1").select("again_id"), "again")
+    signed = signed_texts(docs, id_column, text_column, prints=True).withColumn("row", F.monotonically_increasing_id())
+    signed = stored(signed, "signed")
+    classed = signed.select("words_key", "doc_id", "p1", "p2").join(_classified(signed).select("words_key", "label"), "words_key")
+    # Ids first, nulls last; of several texts with the id, one by its hashes.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("p1"), F.col("p2"))).alias("best")
+    rows = stored(classed.groupBy("label").agg(best).select("best.doc_id", "best.p1", "best.p2"), "keepers")
+    keepers = rows.select(F.col("doc_id").alias("kept_id"), F.col("p1").alias("kept_p1"), F.col("p2").alias("kept_p2"))
+
+    def same(frame: DataFrame, other: DataFrame) -> Column:
+        first, second = _prints(frame[text_column].cast("string"))
+        return (first == other["kept_p1"]) & (second == other["kept_p2"]) & frame[id_column].cast("long").eqNullSafe(other["kept_id"])
+
+    kept = docs.join(keepers, same(docs, keepers), "left_semi")
+    again = signed.groupBy(F.col("doc_id").alias("kept_id"), F.col("p1").alias("kept_p1"), F.col("p2").alias("kept_p2")).count()
+    again = stored(again.where("count > 1").drop("count"), "again")
     if again.isEmpty():
         return kept
-    # Ids that several rows carry.
-    single = kept.join(again, kept[id_column].eqNullSafe(again["again_id"]), "left_anti")
-    several = kept.join(again, kept[id_column].eqNullSafe(again["again_id"]), "left_semi").dropDuplicates([id_column])
+    # Rows that are equal in id and text: one of them stays.
+    single = kept.join(again, same(kept, again), "left_anti")
+    several = kept.join(again, same(kept, again), "left_semi").dropDuplicates([id_column, text_column])
     return single.unionByName(several)

@@ -115,6 +115,13 @@ def test_near_duplicates_of_odd_rows(make_docs):
     assert near_dup.near_duplicates(make_docs([])).count() == 0
 
 
+def test_rows_that_share_an_id_stay_if_their_texts_differ(make_docs):
+    rows = [(None, "the first text without an id"), (None, "a second one, quite different"), (None, "named copy of words"), (1, "named copy of words")]
+    rows += [(2, "two texts under one id"), (2, "this is the other of them"), (3, "equal rows here"), (3, "equal rows here"), (None, None), (None, "the first text without an id")]
+    kept = near_dup.drop_near_duplicates(make_docs(rows, extra=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted({(i or 0, t or "") for i, t in rows} - {(0, "named copy of words")})
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 3), (7, None)]
     rows = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
