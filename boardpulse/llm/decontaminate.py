@@ -7,16 +7,21 @@ the benchmark items; a window with fewer than ``LITERAL`` words that are not pla
 joins nothing. For the windows of an item found in a text, the values in the slots have to
 be consistent: a value of the item stands for one value of the text and the other way
 round, as the majority of the windows has it. An item leaks into a text if at least
-``share`` of its windows are found that way. An item shorter than a window is one window.
+``share`` of its windows are found that way, or if a run of ``RUN`` words of it is. An item
+shorter than a window is one window. The first word of an item may be a name inside a
+sentence of the text, so an item that begins with a capitalised word is searched both ways.
+
+Items without a usable window are searched verbatim: all their words in order, whatever
+case and punctuation. Those of fewer than ``LITERAL`` words have to stand between sentence
+or line ends, or the ends of the text. Such a leak counts as one window of one.
 
 The benchmark side of the join is held in the tasks. Its size is checked: beyond
 ``MOST_WINDOWS`` windows it is cut into blocks of whole items and the documents are read
 once per block, so nothing is dropped. Documents are not shuffled and never leave their
 task but as leaks found.
 
-Defined results: null and empty texts leak nothing; null and empty items, and items with
-fewer than ``LITERAL`` literal words in every window, are never found; repeated rows are
-judged each; empty tables give no leaks; other columns are ignored.
+Defined results: null and empty texts leak nothing; null and empty items, and items without
+words, are never found; repeated rows are judged each; empty tables give no leaks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from boardpulse.llm.shared import encode_frame, in_arrow, stored
 WINDOW = 8
 LITERAL = 4
 SHARE = 0.5
+RUN = 13
 MOST_WINDOWS = 1_000_000
 MOST_WORDS = 600_000
 
@@ -101,14 +107,19 @@ class _Words(dict):
 _met = _Words()
 
 
-def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, kinds and value hashes of a text, sentence ends removed."""
+def template(text: str | None, words: _Words, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, kinds and value hashes of a text, sentence ends removed.
+
+    ``inside``: the text begins inside a sentence.
+    """
     tokens = _TOKEN.findall(text or "")
     rows = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     hashes, kinds = words.tables()
     values, kind = hashes[rows], kinds[rows]
     ends = kind == _END
     starts = np.concatenate([[True], ends[:-1]])[: len(rows)]
+    if inside:
+        starts[:1] = False
     kind = np.where((kind == _NAME) & starts, _LITERAL, kind)
     again = np.concatenate([[False], (kind[1:] == _NAME) & (kind[:-1] == _NAME)])[: len(rows)]
     keep = ~ends & ~again
@@ -116,6 +127,16 @@ def template(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, n
     return np.where(kind == _LITERAL, values, _PLACEHOLDER[kind]), kind, values
 
 
+def verbatim(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a text, and whether a sentence, a line or the text ends before each and after the last."""
+    tokens = _TOKEN.findall(text or "")
+    rows = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+    hashes, kinds = words.tables()
+    ends = kinds[rows] == _END
+    begins = np.concatenate([[True], ends[:-1]])[: len(rows)][~ends]
+    return hashes[rows][~ends], np.concatenate([begins, [True]])
+
+
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of ``size`` template words."""
     count = len(codes) - size + 1
@@ -141,37 +162,59 @@ class TemplateIndex:
     totals: dict[int, int]
     slots: dict[int, tuple[np.ndarray, np.ndarray]]
     item_ids: list[int]
+    whole: dict[int, dict[int, list[int]]]
 
     @classmethod
     def build(cls, texts: list[tuple[int, str | None]], window: int = WINDOW) -> TemplateIndex:
         words, parts, totals, slots = _Words(), [], {}, {}
+        whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for number, (_, text) in enumerate(texts):
-            codes, kind, values = template(text, words)
-            size = min(window, len(codes))
-            if size < LITERAL:
-                continue
-            literal = np.convolve(kind == _LITERAL, np.ones(size, int), "valid") >= LITERAL
-            places = np.flatnonzero(literal)
-            if not len(places):
-                continue
-            found = window_hashes(codes, size)[places]
-            columns = (found, np.full(len(places), number), places, np.full(len(places), size))
-            parts.append(np.stack([column.astype(np.uint64) for column in columns], 1))
-            totals[number], slots[number] = len(places), (kind, values)
+            # Entry 2 n is item n, entry 2 n + 1 the same inside a sentence.
+            forms = [template(text, words), template(text, words, inside=True)]
+            if np.array_equal(forms[0][1], forms[1][1]):
+                forms.pop()
+            usable = False
+            for entry, (codes, kind, values) in enumerate(forms, 2 * number):
+                size = min(window, len(codes))
+                if size < LITERAL:
+                    continue
+                literal = np.convolve(kind == _LITERAL, np.ones(size, int), "valid") >= LITERAL
+                places = np.flatnonzero(literal)
+                if not len(places):
+                    continue
+                found = window_hashes(codes, size)[places]
+                columns = (found, np.full(len(places), entry), places, np.full(len(places), size))
+                parts.append(np.stack([column.astype(np.uint64) for column in columns], 1))
+                totals[entry], slots[entry] = len(places), (kind, values)
+                usable = True
+            if not usable:
+                plain, _ = verbatim(text, words)
+                if len(plain):
+                    whole[len(plain)][int(window_hashes(plain, len(plain))[0])].append(number)
         rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.uint64)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         ints = rows[:, 1:].astype(np.int64)
-        return cls(rows[:, 0], ints[:, 0], ints[:, 1], ints[:, 2], totals, slots, [item for item, _ in texts])
+        return cls(rows[:, 0], ints[:, 0], ints[:, 1], ints[:, 2], totals, slots, [item for item, _ in texts], {size: dict(found) for size, found in whole.items()})
 
     def matcher(self) -> Callable[[str | None], list[tuple[int, int, int]]]:
+        """A function from a text to what it holds of items: item id, windows found, windows of the item."""
+        holds = self._holds()
+        return lambda text: [held[:3] for held in holds(text)]
+
+    def leaks(self, share: float) -> Callable[[str | None], list[tuple[int, int, int]]]:
         """A function from a text to its leaks: item id, windows found, windows of the item."""
+        holds = self._holds()
+        return lambda text: [held[:3] for held in holds(text) if held[1] >= share * held[2] or held[3] >= RUN]
+
+    def _holds(self) -> Callable[[str | None], list[tuple[int, int, int, int]]]:
+        """A function from a text to item id, windows found, windows of the item, words of the longest run."""
         words, lengths = _met, np.unique(self.sizes).tolist()
         shift = np.uint64(44)
         seen = np.zeros(1 << 20, bool)
         seen[(self.hashes >> shift).astype(np.int64)] = True
 
-        def match(text: str | None) -> list[tuple[int, int, int]]:
-            if not text or not len(self.hashes):
+        def match(text: str | None) -> list[tuple[int, int, int, int]]:
+            if not text or not (len(self.hashes) or self.whole):
                 return []
             if len(words) > MOST_WORDS:
                 words.clear()
@@ -187,28 +230,43 @@ class TemplateIndex:
                     for row in range(a, b):
                         if self.sizes[row] == size:
                             pairs[int(self.items[row])].append((int(self.places[row]), place, size))
-            out = []
-            for number, matches in pairs.items():
-                consistent = self._consistent(number, matches, kind, values)
+            best: dict[int, tuple[int, int, int]] = {}
+            for entry, matches in pairs.items():
+                consistent, run = self._consistent(entry, matches, kind, values)
                 if consistent:
-                    out.append((self.item_ids[number], consistent, self.totals[number]))
-            return out
+                    held, number = (consistent, self.totals[entry], run), entry // 2
+                    old = best.get(number, held)
+                    better = max(held, old, key=lambda x: x[0] / x[1])
+                    best[number] = (better[0], better[1], max(run, old[2]))
+            if self.whole:
+                plain, begins = verbatim(text, words)
+                for size, items in self.whole.items():
+                    for place, found in enumerate(window_hashes(plain, size).tolist()):
+                        if found in items and (size >= LITERAL or begins[place] and begins[place + size]):
+                            best.update((number, (1, 1, size)) for number in items[found])
+            return [(self.item_ids[number], *held) for number, held in best.items()]
 
         return match
 
-    def _consistent(self, number: int, matches: list[tuple[int, int, int]], kind: np.ndarray, values: np.ndarray) -> int:
-        """How many windows of the item are found with the values most windows agree on."""
+    def _consistent(self, number: int, matches: list[tuple[int, int, int]], kind: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+        """How many windows of the item are found with the values most windows agree on, and the words of their longest run."""
         item_kind, item_values = self.slots[number]
         filled = [
-            (place, [(int(item_values[place + k]), int(values[at + k])) for k in range(size) if item_kind[place + k] != _LITERAL])
+            (place, at, size, [(int(item_values[place + k]), int(values[at + k])) for k in range(size) if item_kind[place + k] != _LITERAL])
             for place, at, size in matches
         ]
-        votes = Counter(pair for _, pairs in filled for pair in pairs)
+        votes = Counter(pair for *_, pairs in filled for pair in pairs)
         there, back = {}, {}
         for (mine, other), _ in votes.most_common():
             if mine not in there and other not in back:
                 there[mine], back[other] = other, mine
-        return len({place for place, pairs in filled if all(there.get(mine) == other for mine, other in pairs)})
+        good = [(at - place, place, size) for place, at, size, pairs in filled if all(there.get(mine) == other for mine, other in pairs)]
+        longest, begin, last = 0, 0, None
+        for shift, place, size in sorted(good):
+            if last != (shift, place - 1):
+                begin = place
+            last, longest = (shift, place), max(longest, place + size - begin)
+        return len({place for _, place, _ in good}), longest
 
 
 def blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", most: int = MOST_WINDOWS) -> Iterator[TemplateIndex]:
@@ -234,11 +292,11 @@ def find_leaks(
 
     def search(index: TemplateIndex) -> DataFrame:
         def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = index.matcher()
+            match = index.leaks(share)
             for batch in batches:
                 out = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    out.extend((doc, *leak) for leak in match(text) if leak[1] >= share * leak[2])
+                    out.extend((doc, *leak) for leak in match(text))
                 columns = list(zip(*out)) or [(), (), (), ()]
                 names = ("id", "item_id", "matched", "windows")
                 yield encode_frame({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
@@ -260,9 +318,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 
     def without(kept: DataFrame, index: TemplateIndex) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = index.matcher()
+            match = index.leaks(share)
             for batch in batches:
-                clean = [all(found < share * total for _, found, total in match(t)) for t in batch.column(place).to_pylist()]
+                clean = [not match(t) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return in_arrow(kept, keep, docs.schema)

@@ -134,6 +134,21 @@ def test_templates_catch_changed_numbers_names_and_units(spark, make_docs):
     assert decontaminate.find_leaks(make_docs([]), benchmark).count() == 0
 
 
+def test_short_first_word_and_long_run_leaks(spark, make_docs):
+    long_item = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)).replace("word", "w")
+    items = [(1, "What is 37 plus 48?"), (2, "Compute 12 * 7 + 5 - 3."), (3, "Which planet is closest to the sun"), (4, long_item), (5, "Why not?")]
+    docs = make_docs(
+        [
+            (1, "He asked: what is 37 plus 48? Nobody knew."), (2, "Compute 12 * 7 + 5 - 3."), (3, "Question: Which planet is closest to the sun"),
+            (4, "Before it " + " ".join(long_item.split()[20:35]) + " and after"), (5, "Really. Why not? Because."), (6, "why not go there"),
+            (7, "What is 38 plus 48?"), (8, "Before it " + " ".join(long_item.split()[20:31]) + " and after"),
+        ]
+    )
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()) == [(k, k) for k in range(1, 6)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()) == [6, 7, 8]
+
+
 def test_slots_have_to_be_consistent():
     match = decontaminate.TemplateIndex.build([(1, ITEM)]).matcher()
     mixed = "Zoe has 40 apples and gives 40 apples to Zoe before Max walks 8 miles home."
