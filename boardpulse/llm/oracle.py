@@ -32,4 +32,81 @@ SELECT conv_id, count(*) AS n_turns,
                 + length(replace(text, '<|', '<|\')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op2_vector_links": VECTOR_LINKS, "op4_chat_masks": CHAT_MASKS}
+# Phrases of two and three words, each cut at its weakest place.
+PHRASES = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[ \x09]+'), lambda w: w <> '') AS words FROM texts)
+  WHERE len(words) > 0),
+words AS (SELECT lang, piece, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+one AS (SELECT lang, w AS phrase, count(*) AS f FROM words GROUP BY ALL),
+strings AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER piece AS w2, lead(w, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY lang, piece ORDER BY i)),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM strings WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM strings WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, w1 || ' ' || w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k FROM two t
+    JOIN one x ON x.lang = t.lang AND x.phrase = w1 JOIN one y ON y.lang = t.lang AND y.phrase = w2
+    WHERE NOT EXISTS (SELECT 1 FROM three u WHERE u.lang = t.lang AND 100 * u.f >= 50 * t.f
+                      AND (u.w1 = t.w1 AND u.w2 = t.w2 OR u.w2 = t.w1 AND u.w3 = t.w2))
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1 FROM three t
+    JOIN one x ON x.lang = t.lang AND x.phrase = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2 FROM three t
+    JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.phrase = t.w3),
+scored AS (
+  SELECT lang, phrase, a, l, r, k, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN totals USING (lang)
+QUALIFY rank <= 2000"""
+
+# Every pair of equal words as a point on the diagonal of its distance; stretches of points are runs.
+# crc32 bit by bit, as the engine has no function for it.
+PERIODIC_RUNS = r"""
+WITH sums AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS original,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ord(d))),
+             lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h
+  FROM documents, sums),
+plans AS (
+  SELECT doc, doc_id, original, len(original) AS n, h % 10 = 0 AND len(original) > 0 AS loops,
+         CASE WHEN len(original) > 0 THEN (h // 10) % len(original) ELSE 0 END AS a, (h // 10) % 8 AS g8 FROM texts),
+periods AS (SELECT *, 1 + (n - a) // (3 + g8) AS p FROM plans),
+words AS (
+  SELECT doc, n, i, CASE WHEN loops AND i >= a THEN original[a + (i - a) % p + 1] ELSE original[i + 1] END AS w
+  FROM periods, LATERAL (SELECT unnest(range(n)) AS i)),
+points AS (
+  SELECT x.doc, x.i, x.i - y.i AS q FROM words x JOIN words y ON x.doc = y.doc AND x.w = y.w AND y.i < x.i AND 3 * (x.i - y.i) <= x.n),
+stretches AS (
+  SELECT doc, q, min(i) - q AS s, max(i) AS e FROM (
+    SELECT doc, q, i, i - row_number() OVER (PARTITION BY doc, q ORDER BY i) AS island FROM points)
+  GROUP BY doc, q, island),
+long_enough AS (SELECT doc, q, s, e, e - s + 1 AS length FROM stretches WHERE e - s + 1 >= greatest(24, 3 * q)),
+runs AS (
+  SELECT * FROM long_enough r WHERE NOT EXISTS (
+    SELECT 1 FROM long_enough z WHERE z.doc = r.doc AND z.q < r.q AND z.s <= r.s AND z.e >= r.e)),
+strongest AS (
+  SELECT doc, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc),
+first AS (
+  SELECT * FROM runs r QUALIFY row_number() OVER (PARTITION BY doc ORDER BY CAST(length AS DOUBLE) / q DESC, s, q) = 1),
+dropped AS (SELECT DISTINCT doc, unnest(range(s + q, e + 1)) AS i FROM runs),
+kept AS (
+  SELECT doc, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc, i) GROUP BY doc)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN strongest USING (doc) LEFT JOIN first USING (doc) LEFT JOIN kept USING (doc)"""
+
+ORACLE: dict[str, str] = {
+    "op2_vector_links": VECTOR_LINKS,
+    "op4_chat_masks": CHAT_MASKS,
+    "op12_phrase_collocations": PHRASES,
+    "op13_periodic_runs": PERIODIC_RUNS,
+}

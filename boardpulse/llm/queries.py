@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardpulse.llm.chat import digests, format_chats
+from boardpulse.llm.collocations import mine_phrases, top_phrases
 from boardpulse.llm.decontaminate import find_leaks
 from boardpulse.llm.near_dup import near_duplicates
 from boardpulse.llm.packing import pack
+from boardpulse.llm.periodic_runs import find_runs, looped
 from boardpulse.llm.quality import fit_quality, score_quality
 from boardpulse.llm.shared import remainder, stored
 from boardpulse.llm.token_counts import token_counts
@@ -100,6 +102,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words per language."""
+    return top_phrases(mine_phrases(_table(spark, sf_dir, "documents"), longest=3, least=10, covered_percent=50), first=2000)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its strongest run, and digests of all runs and of the collapsed text."""
+    found = find_runs(_table(spark, sf_dir, "documents"), least_words=24, least_periods=3, rewrite=looped)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    best = F.get("runs", F.col("best").cast("int"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda text: F.concat(text, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_vector_links": op2_vector_links,
@@ -111,4 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_periodic_runs": op13_periodic_runs,
 }
