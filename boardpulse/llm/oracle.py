@@ -32,6 +32,19 @@ SELECT conv_id, count(*) AS n_turns,
                 + length(replace(text, '<|', '<|\')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+REPEATED_LINES = r"""
+WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM texts, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+repeated AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10),
+marked AS (SELECT doc, i, line, key IN (SELECT key FROM repeated) AS gone FROM lines),
+per_doc AS (
+  SELECT doc, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM texts JOIN per_doc USING (doc)"""
+
 # Phrases of two and three words, each cut at its weakest place.
 PHRASES = r"""
 WITH texts AS (
@@ -107,6 +120,7 @@ FROM texts LEFT JOIN strongest USING (doc) LEFT JOIN first USING (doc) LEFT JOIN
 ORACLE: dict[str, str] = {
     "op2_vector_links": VECTOR_LINKS,
     "op4_chat_masks": CHAT_MASKS,
+    "op11_line_dedup": REPEATED_LINES,
     "op12_phrase_collocations": PHRASES,
     "op13_periodic_runs": PERIODIC_RUNS,
 }

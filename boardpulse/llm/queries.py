@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boardpulse.llm.chat import digests, format_chats
 from boardpulse.llm.collocations import mine_phrases, top_phrases
 from boardpulse.llm.decontaminate import find_leaks
+from boardpulse.llm.line_dedup import drop_repeated_lines
 from boardpulse.llm.near_dup import near_duplicates
 from boardpulse.llm.packing import pack
 from boardpulse.llm.periodic_runs import find_runs, looped
@@ -102,6 +103,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, those dropped because ten documents have them, and a digest of the rest."""
+    kept = drop_repeated_lines(_table(spark, sf_dir, "documents"), least_docs=10, batches=6)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 strongest phrases of two or three words per language."""
     return top_phrases(mine_phrases(_table(spark, sf_dir, "documents"), longest=3, least=10, covered_percent=50), first=2000)
@@ -135,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_line_dedup": op11_line_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }

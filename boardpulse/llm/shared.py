@@ -39,7 +39,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
+def stored(frame: DataFrame, purpose: str, partitions: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write ``frame`` as Parquet into the folder all executors share and read it back.
 
     Cuts the lineage like a checkpoint, but columnar and compressed, so that later stages
@@ -47,7 +47,7 @@ def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     """
     spark = frame.sparkSession
     folder = run_dir(spark, purpose)
-    frame.write.options(**{"compression": "zstd", **options}).parquet(folder)
+    frame.write.options(**{"compression": "zstd", **options}).partitionBy(*partitions).parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
@@ -98,15 +98,5 @@ def remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fresh(frame: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``frame`` is called so."""
-    taken = {column.lower() for column in frame.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def encode_frame(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
