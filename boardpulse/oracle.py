@@ -411,6 +411,32 @@ ENROLLED = """
     SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY lower(s_name)) AS id,
            lower(s_name) AS username, s_name AS name, s_nationkey FROM supplier WHERE s_acctbal > 0)"""
 
+USER_FILTERS = {
+    "none": ("TRUE", "page_weight", 1),
+    "position": (HOLDS, "page_weight", 1),
+    "dashboard": ("TRUE", "sales_pages", 0),
+    "user": ("user_id = 7", "page_weight", 1),
+    "no_admins": (NO_ADMINS, "page_weight", 1),
+    "all": (f"{HOLDS} AND {NO_ADMINS}", "sales_pages", 0),
+}
+USERS_OF_PERIODS = " UNION ALL ".join(
+    f"SELECT '{name}' AS filter, '{period}' AS period, unique_users FROM ({totals(source, where, pages, unlisted)})"
+    for name, (where, pages, unlisted) in USER_FILTERS.items()
+    for period, source in (("now", "period"), ("before", "before"))
+)
+
+ACTIVE_BY_DAY = f"""
+  SELECT day, count(DISTINCT user_id) AS active_users
+  FROM (SELECT DISTINCT session_date AS day FROM sessions) days
+  LEFT JOIN sessions ON session_date BETWEEN day - 30 AND day AND {NO_ADMINS}
+  GROUP BY day"""
+
+ACTIVE_ESTIMATED = f"""
+  SELECT TRUE AS with_admins, count(DISTINCT user_id) AS active_users, TRUE AS near
+  FROM sessions WHERE session_date >= DATE '2023-12-31'
+  UNION ALL
+  SELECT FALSE, count(DISTINCT user_id), TRUE FROM sessions WHERE session_date >= DATE '2023-12-31' AND {NO_ADMINS}"""
+
 ORACLE: dict[str, str] = {
     "period_bounds": over(PERIODS),
     "base_kpis": over(totals("period")),
@@ -437,7 +463,16 @@ ORACLE: dict[str, str] = {
     "report_kpis": over("SELECT * FROM k", kpis(HOLDS, NO_ADMINS)),
     "report_document": over(DOCUMENT, kpis()),
     "kpi_cards": over(CARDS, kpis()),
+    "unique_users_of_periods": over(USERS_OF_PERIODS),
+    "active_users_by_day": over(ACTIVE_BY_DAY),
+    "adoption_from_bitmaps": adoption(),
+    "adoption_from_bitmaps_no_admins": adoption(NO_ADMINS),
+    "active_users_estimated": over(ACTIVE_ESTIMATED),
     "audit_log": over("SELECT * FROM trail", log("TRUE")),
+    "audit_log_newest_days": over("SELECT * FROM trail", log("TRUE")),
+    "audit_log_of_user_newest_days": over(
+        "SELECT * FROM trail", log("session_date >= DATE '2024-01-27' AND user_id = 7")
+    ),
     "audit_log_filtered": over(
         "SELECT * FROM trail",
         log(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,11 @@ from boardpulse.functions.calendar import LOCAL_ZONE, to_local
 from boardpulse.functions.text import joined_names, or_default, time_label
 from boardpulse.operators.links import UNLINKED, display_names
 from boardpulse.operators.nesting import positions_per_user
+from boardpulse.operators.newest import newest_rows
 from boardpulse.operators.scope import is_admin
 from boardpulse.session import pin
 from boardpulse.sources.tables import Tables
+from boardpulse.sources.zones import Zone
 from boardpulse.streaming.rollup import LOGIN_PORTAL
 
 # Rows taken before filtering, rows shown, name for the nameless.
@@ -34,17 +37,23 @@ def audit_log(
     position_id: int | None = None,
     dashboard_name: str | None = None,
     limit: int | None = LOG_LIMIT,
+    zones: Sequence[Zone] | None = None,
 ) -> DataFrame:
     """Newest sessions by last ping, then stripped of logins, admins and other dashboards.
 
     Day and user filters choose before the limit, everything else after it, so fewer
     than ``limit`` rows may remain. Absent days are unbounded; without a limit the log is
     complete. Sessions without a page stay in the log under the name for unlinked pages.
+    With the ``zones`` of stored facts only the newest days are opened.
     """
-    facts = tables.sessions((start_date, end_date)) if start_date or end_date else tables.sessions()
-    if user_id is not None:
-        facts = facts.where(F.col("user_id") == user_id)
-    newest = facts if limit is None else pin(facts.orderBy(*_newest_first()).limit(limit))
+    only = None if user_id is None else F.col("user_id") == user_id
+    if limit is not None and zones is not None:
+        newest, _ = newest_rows(tables.session_source, zones, limit, _newest_first(), (start_date, end_date), only)
+    else:
+        facts = tables.sessions((start_date, end_date)) if start_date or end_date else tables.sessions()
+        if only is not None:
+            facts = facts.where(only)
+        newest = facts if limit is None else pin(facts.orderBy(*_newest_first()).limit(limit))
 
     people = tables.users.where(~is_admin(F.col("role"))).select(
         F.col("id").alias("_user"), or_default(F.col("name"), NAMELESS_USER).alias("name")

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardpulse.functions.calendar import LOCAL_ZONE, Period, preset_bounds
 from boardpulse.operators import changes, integrity, removal
+from boardpulse.operators.presence import Presence, relative_error, write_presence
 from boardpulse.plans import access, audit, directory
 from boardpulse.plans.params import ReportParams
 from boardpulse.plans.periods import period_overview
-from boardpulse.plans.report import UsageReport
+from boardpulse.plans.report import ACTIVE_DAYS, UsageReport
 from boardpulse.sources import testbed
 from boardpulse.sources.feeds import split_by_required
 from boardpulse.session import pin, run_dir
 from boardpulse.sources.tables import Tables, drop_legacy_columns, from_frame, write_sessions
+from boardpulse.sources.zones import Zone, read_zones, write_zoned_sessions
 from boardpulse.streaming import engagement, ratewatch, rollup
 from boardpulse.streaming.runner import drain_partials, drain_parts
 
@@ -168,6 +170,79 @@ def kpi_cards(spark, sf_dir):
     return report(spark, sf_dir).cards()
 
 
+# -- users of any period, from what is kept next to the facts ---------------------------------
+
+
+def presence(spark: SparkSession, sf_dir: str) -> Presence:
+    """Bitmaps and sketches of all days, stored and read back."""
+    tables = testbed.tables(spark, sf_dir)
+    folder = run_dir(spark, "presence")
+    write_presence(tables.sessions(), folder)
+    return Presence.stored(spark, tables, folder)
+
+
+@query
+def unique_users_of_periods(spark, sf_dir):
+    """Unique users of the period and the one before under each filter and under all."""
+    kept = presence(spark, sf_dir)
+    now, before = Period(START, END), Period(START, END).previous()
+    periods = spark.createDataFrame([("now", now.start, now.end), ("before", before.start, before.end)], "name string, start date, end date")
+    filters = {
+        "none": {},
+        "position": {"position_id": POSITION},
+        "dashboard": {"dashboard_name": DASHBOARD},
+        "user": {"user_id": USER},
+        "no_admins": {"exclude_admins": True},
+        "all": {"position_id": POSITION, "dashboard_name": DASHBOARD, "exclude_admins": True},
+    }
+    frames = [
+        kept.users_of(periods, ReportParams(**chosen)).select(F.lit(name).alias("filter"), F.col("name").alias("period"), "unique_users")
+        for name, chosen in filters.items()
+    ]
+    every = frames[0]
+    for frame in frames[1:]:
+        every = every.unionByName(frame)
+    return every
+
+
+@query
+def active_users_by_day(spark, sf_dir):
+    """Users of the thirty days up to each day, without admins."""
+    kept = presence(spark, sf_dir)
+    days = kept.days.select(F.col("session_date").alias("day")).distinct()
+    periods = days.select(F.col("day").cast("string").alias("name"), F.date_sub("day", ACTIVE_DAYS).alias("start"), F.col("day").alias("end"))
+    users = kept.users_of(periods, ReportParams(exclude_admins=True))
+    return users.select(F.col("name").cast("date").alias("day"), F.col("unique_users").alias("active_users"))
+
+
+@query
+def adoption_from_bitmaps(spark, sf_dir):
+    return doubles(presence(spark, sf_dir).adoption(AS_OF, ACTIVE_DAYS))
+
+
+@query
+def adoption_from_bitmaps_no_admins(spark, sf_dir):
+    return doubles(presence(spark, sf_dir).adoption(AS_OF, ACTIVE_DAYS, ReportParams(exclude_admins=True)))
+
+
+@query
+def active_users_estimated(spark, sf_dir):
+    """Exact active users, and whether the estimates stay within three standard errors."""
+    kept = presence(spark, sf_dir)
+    since = AS_OF - timedelta(days=ACTIVE_DAYS)
+    period = spark.createDataFrame([("active", since, None)], "name string, start date, end date")
+    counts = None
+    for admins in (True, False):
+        params = ReportParams(exclude_admins=not admins)
+        exact = kept.users_of(period, params).select(F.lit(admins).alias("with_admins"), "unique_users", F.lit(0).alias("about"))
+        about = kept.estimate([(since, None)], params).select(F.lit(admins).alias("with_admins"), F.lit(0).alias("unique_users"), F.col("unique_users").alias("about"))
+        both = exact.unionByName(about)
+        counts = both if counts is None else counts.unionByName(both)
+    counts = counts.groupBy("with_admins").agg(F.sum("unique_users").alias("active_users"), F.sum("about").alias("about"))
+    near = F.abs(F.col("about") - F.col("active_users")) <= 3 * relative_error() * F.col("active_users")
+    return counts.select("with_admins", "active_users", near.alias("near"))
+
+
 # -- audit log ---------------------------------------------------------------------------
 
 
@@ -193,6 +268,29 @@ def recent_activity(spark, sf_dir):
     return audit.recent_activity(audit.audit_log(testbed.tables(spark, sf_dir), START, END))
 
 
+def zoned(spark: SparkSession, sf_dir: str) -> tuple[Tables, list[Zone] | None]:
+    """Facts stored by day, and the zones of these days."""
+    tables = testbed.tables(spark, sf_dir)
+    folder = run_dir(spark, "zoned")
+    sessions = tables.sessions()
+    write_zoned_sessions(sessions, f"{folder}/facts", f"{folder}/zones")
+    stored = spark.read.schema(sessions.schema).parquet(f"{folder}/facts")
+    return tables.with_sessions(stored), read_zones(spark, f"{folder}/facts", f"{folder}/zones")
+
+
+@query
+def audit_log_newest_days(spark, sf_dir):
+    """The log from stored facts, of which only the newest days are opened."""
+    tables, zones = zoned(spark, sf_dir)
+    return audit.audit_log(tables, zones=zones)
+
+
+@query
+def audit_log_of_user_newest_days(spark, sf_dir):
+    tables, zones = zoned(spark, sf_dir)
+    return audit.audit_log(tables, START, None, user_id=USER, zones=zones)
+
+
 # -- entitlements -----------------------------------------------------------------------------
 
 
@@ -323,14 +421,12 @@ def session_rollup_stream(spark, sf_dir):
 
 @query
 def closed_day_sessions_stream(spark, sf_dir):
-    """Sessions of the days that are over, moved from parts to day partitions."""
+    """Sessions of the days that are over, after their parts were merged and retired."""
     pings = testbed.as_pings(event_stream(spark, sf_dir))
-    target = run_dir(spark, "closed-days")
-    days = [(None, AS_OF)]
 
     def read(path: str) -> DataFrame:
-        rollup.compact_partials(spark, path, target, days)
-        return spark.read.schema(rollup.part_schema()).parquet(target)
+        rollup.compact_partials(spark, path, closed=AS_OF, with_id=True)
+        return rollup.read_partials(spark, path, [(None, AS_OF)])
 
     return drain_parts(spark, "closing", lambda path: rollup.write_partials(pings, path), read)
 

@@ -70,6 +70,12 @@ class CommitLog:
     def folder(self, part: Part) -> str:
         return os.path.join(self.root, part.path)
 
+    def folders(self, below: str) -> list[str]:
+        """Names of the folders in a folder of the root, for its writer to describe."""
+        found = [status for status in self._files.listStatus(self._path(below)) if status.isDirectory()]
+        names = sorted(status.getPath().getName() for status in found)
+        return [name for name in names if not name.startswith(("_", ".")) or "=" in name]
+
     def _numbers(self) -> list[int]:
         folder = self._path(FOLDER)
         if not self._files.exists(folder):
@@ -140,12 +146,12 @@ class CommitLog:
                 self._files.delete(self._path(f"{FOLDER}/{old:020d}.json"), False)
 
     def vacuum(self, below: str = "") -> list[str]:
-        """Remove part folders that the newest entry does not name; for when no reader uses older entries.
+        """Remove part folders in which the newest entry names nothing; for when no reader uses older entries.
 
         ``below`` is the folder that holds the parts. Parts being written are not named yet, so
         writers have to rest meanwhile.
         """
-        named = {part.path for part in self.newest().parts}
+        named = {"/".join(part.path.split("/")[: below.count("/") + 2 if below else 1]) for part in self.newest().parts}
         folder, gone = self._path(below) if below else self._java.Path(self.root), []
         if not self._files.exists(folder):
             return gone

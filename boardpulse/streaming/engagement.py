@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
-from boardpulse.functions.calendar import LOCAL_ZONE, local_day
+from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, local_day, within_days
 from boardpulse.sources.feeds import event_time
-from boardpulse.streaming.parts import read_parts, write_parts
+from boardpulse.streaming.parts import PartKind, compact_parts, read_parts, write_parts
 from boardpulse.streaming.rollup import merge_partials
 
 # Seconds between two heartbeats, and seconds without activity that end credit.
 TICK_SECONDS = 30
 IDLE_SECONDS = 300
-# A user's history is split into spans of this length before it is sorted.
+# A user's history is split into spans of this length before it is sorted; for sessions these
+# are joined in spans 64 days, 4,096 days (11 years) and 718 years wide.
 SPAN_SECONDS = 86_400
+SPAN_FACTOR, SPAN_LEVELS = 64, 3
 
 
 def _check(idle_seconds: int, tick_seconds: int) -> None:
@@ -112,20 +117,60 @@ def _runs_of_cells(cells: DataFrame, idle_seconds: int, tick_seconds: int) -> Da
     )
 
 
+def _last_of_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("user_id", "dashboard_url", "cell").agg(F.max("last").alias("last"))
+
+
+def _gaps_of_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("user_id", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
+_USER, _INSTANT = [T.StructField("user_id", T.LongType())], T.TimestampType()
+# What a stream of activity leaves behind for ticks, and for sessions cut at gaps; by UTC day.
+TICK_CELLS = PartKind(
+    T.StructType([*_USER, T.StructField("dashboard_url", T.StringType()), T.StructField("cell", _INSTANT), T.StructField("last", _INSTANT)]),
+    _last_of_cells,
+    day_of="cell",
+)
+GAP_CELLS = PartKind(
+    T.StructType([*_USER, *[T.StructField(name, _INSTANT) for name in ("cell", "first", "last")], T.StructField("n", T.LongType())]),
+    _gaps_of_cells,
+    day_of="cell",
+)
+
+
 def write_ticks(activity: DataFrame, path: str, tick_seconds: int = TICK_SECONDS) -> DataStreamWriter:
     """Writer that stores each micro-batch of activity as grid cells."""
-    return write_parts(activity, path, lambda batch: activity_cells(batch, tick_seconds))
+    return write_parts(activity, path, TICK_CELLS, lambda batch: activity_cells(batch, tick_seconds))
 
 
 def read_ticks(
-    spark: SparkSession, path: str, idle_seconds: int = IDLE_SECONDS, tick_seconds: int = TICK_SECONDS
+    spark: SparkSession,
+    path: str,
+    idle_seconds: int = IDLE_SECONDS,
+    tick_seconds: int = TICK_SECONDS,
+    ranges: Sequence[DayRange] = (),
 ) -> DataFrame:
-    """The ticks all stored activity earns, by the batch rule."""
-    schema = T._parse_datatype_string("user_id long, dashboard_url string, cell timestamp, last timestamp")
-    cells = read_parts(spark, path, schema).groupBy("user_id", "dashboard_url", "cell").agg(F.max("last").alias("last"))
+    """The ticks all stored activity earns, by the batch rule; of all UTC days or of some.
+
+    A tick is earned by activity at most ``idle_seconds`` before it, so a range opens the
+    parts of its own days and of so many days before.
+    """
+    reach = timedelta(days=-(-(idle_seconds + tick_seconds) // SPAN_SECONDS))
+    needed = [(lo and lo - reach, hi) for lo, hi in ranges]
+    cells = read_parts(spark, path, TICK_CELLS, needed)
     tick = _interval(tick_seconds)
     runs = _runs_of_cells(cells, idle_seconds, tick_seconds)
-    return runs.select("user_id", "dashboard_url", F.explode(F.sequence(F.col("cell") + tick, F.col("until"), tick)).alias("ts"))
+    ticks = runs.select("user_id", "dashboard_url", F.explode(F.sequence(F.col("cell") + tick, F.col("until"), tick)).alias("ts"))
+    return ticks.where(within_days(local_day(ticks, "ts", "UTC"), ranges)) if ranges else ticks
+
+
+def compact_ticks(spark: SparkSession, path: str, closed: date | None = None) -> list[str | None]:
+    return compact_parts(spark, path, TICK_CELLS, closed=closed)
+
+
+def compact_idle_sessions(spark: SparkSession, path: str, closed: date | None = None) -> list[str | None]:
+    return compact_parts(spark, path, GAP_CELLS, closed=closed)
 
 
 def _interval(seconds: int) -> Column:
@@ -178,32 +223,57 @@ def gap_cells(activity: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataFrame
 
 def write_idle_sessions(activity: DataFrame, path: str, gap_seconds: int = IDLE_SECONDS) -> DataStreamWriter:
     """Writer that stores each micro-batch of activity as cells as wide as the gap."""
-    return write_parts(activity, path, lambda batch: gap_cells(batch, gap_seconds))
+    return write_parts(activity, path, GAP_CELLS, lambda batch: gap_cells(batch, gap_seconds))
 
 
 def read_idle_sessions(spark: SparkSession, path: str, gap_seconds: int = IDLE_SECONDS) -> DataFrame:
     """The sessions of all stored activity, by the batch rule."""
-    schema = T._parse_datatype_string("user_id long, cell timestamp, first timestamp, last timestamp, n long")
-    merged = read_parts(spark, path, schema).groupBy("user_id", "cell").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
-    )
-    return _stays(merged, gap_seconds)
+    return _stays(read_parts(spark, path, GAP_CELLS), gap_seconds)
 
 
 def _stays(cells: DataFrame, gap_seconds: int) -> DataFrame:
-    by_time = Window.partitionBy("user_id").orderBy("first")
+    """Cells joined to sessions by a segmented scan: no window holds a whole user.
+
+    A user's time is cut into spans. Within a span cells are joined where they are close
+    enough; a session that touches neither end of its span's sessions is settled, for its
+    neighbours are farther away than the gap. The first and the last one go on into spans
+    ``SPAN_FACTOR`` times as wide, where there are at most two per narrower span, and so on
+    until a span holds all time. A window thus sees one user's cells of one day, or
+    2 * ``SPAN_FACTOR`` summaries, however long the user's history is.
+    """
+    zoneless = isinstance(cells.schema["first"].dataType, T.TimestampNTZType)
+    since = F.col("first") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = since.cast("long") if zoneless else F.unix_seconds("first")
+    widest = SPAN_SECONDS * SPAN_FACTOR**SPAN_LEVELS
+    level = cells.select("user_id", "first", "last", "n")
+    settled = []
+    width = SPAN_SECONDS
+    while width < widest:
+        joined = _joined(level.withColumn("span", F.floor(seconds / width)), gap_seconds)
+        inner = (F.col("session") > 1) & (F.col("session") < F.col("sessions"))
+        settled.append(joined.where(inner).select("user_id", "first", "last", "n"))
+        level = joined.where(~inner).select("user_id", "first", "last", "n")
+        width *= SPAN_FACTOR
+    every = _joined(level.withColumn("span", F.lit(0)), gap_seconds).select("user_id", "first", "last", "n")
+    for frame in settled:
+        every = every.unionByName(frame)
+    return every.select(
+        "user_id", F.col("first").alias("session_start"), F.col("last").alias("last_activity"), F.col("n").alias("activities")
+    )
+
+
+def _joined(pieces: DataFrame, gap_seconds: int) -> DataFrame:
+    """Pieces of a user and span joined where no gap parts them, numbered ``session`` of ``sessions``."""
+    group = Window.partitionBy("user_id", "span")
+    by_time = group.orderBy("first")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.col("first") - F.lag("last").over(by_time)
     opens = F.when(since <= _interval(gap_seconds), 0).otherwise(1)
-    numbered = cells.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
+    numbered = pieces.withColumn("opens", opens).withColumn("session", F.sum("opens").over(so_far))
     return (
-        numbered.groupBy("user_id", "session")
-        .agg(
-            F.min("first").alias("session_start"),
-            F.max("last").alias("last_activity"),
-            F.sum("n").alias("activities"),
-        )
-        .drop("session")
+        numbered.withColumn("sessions", F.sum("opens").over(group))
+        .groupBy("user_id", "span", "session", "sessions")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from boardpulse.functions.calendar import DayRange
 from boardpulse.sources.feeds import event_time
-from boardpulse.streaming.parts import read_parts, write_parts
+from boardpulse.streaming.parts import PartKind, compact_parts, read_parts, write_parts
 
 # The observed window, and the requests allowed in it overall and for logins.
 WINDOW = "15 minutes"
@@ -48,13 +52,33 @@ def rate_breaches(
     return over_limit(request_counts(timed, window, key), limit)
 
 
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("key", "window_start", "window_end").agg(F.sum("requests").alias("requests"))
+
+
+# Requests of each key in each window; a window belongs to the UTC day of its start.
+COUNTS = PartKind(
+    T.StructType()
+    .add("key", T.LongType())
+    .add("window_start", T.TimestampType())
+    .add("window_end", T.TimestampType())
+    .add("requests", T.LongType()),
+    _summed,
+    day_of="window_start",
+)
+
+
 def write_counts(access_log: DataFrame, path: str, window: str = WINDOW) -> DataStreamWriter:
     """Writer that stores each micro-batch as requests of each key in each window."""
-    return write_parts(access_log, path, lambda batch: request_counts(batch, window))
+    return write_parts(access_log, path, COUNTS, lambda batch: request_counts(batch, window))
+
+
+def read_breaches(
+    spark: SparkSession, path: str, limit: int = MAX_REQUESTS, ranges: Sequence[DayRange] = ()
+) -> DataFrame:
+    """Breaches among all stored requests, or in the windows that start on some UTC days."""
+    return over_limit(read_parts(spark, path, COUNTS, ranges), limit)
 
 
-def read_breaches(spark: SparkSession, path: str, limit: int = MAX_REQUESTS) -> DataFrame:
-    """Breaches among all stored requests."""
-    schema = T._parse_datatype_string("key long, window_start timestamp, window_end timestamp, requests long")
-    parts = read_parts(spark, path, schema).groupBy("key", "window_start", "window_end")
-    return over_limit(parts.agg(F.sum("requests").alias("requests")), limit)
+def compact_counts(spark: SparkSession, path: str, closed: date | None = None) -> list[str | None]:
+    return compact_parts(spark, path, COUNTS, closed=closed)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, fixed_offset, local_day, within_days
+from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, fixed_offset, local_day
 from boardpulse.sources.feeds import accepted_pings, event_time
-from boardpulse.sources.tables import write_sessions
-from boardpulse.streaming.parts import read_parts, write_parts
+from boardpulse.streaming.parts import PartKind, compact_parts, read_parts, write_parts
 
 # Fixed value: the page name under which a login is recorded.
 LOGIN_PORTAL = "LOGIN_PORTAL"
@@ -75,12 +75,21 @@ def roll_up_stream(pings: DataFrame, lateness: str, zone: str = LOCAL_ZONE) -> D
 
 def write_partials(pings: DataFrame, path: str, zone: str = LOCAL_ZONE) -> DataStreamWriter:
     """Writer that stores each micro-batch of accepted pings as partial sessions by day."""
-    return write_parts(pings, path, lambda batch: roll_up(accepted_pings(batch), zone), ("session_date",))
+    kind = partial_sessions("id" in pings.columns)
+    return write_parts(pings, path, kind, lambda batch: roll_up(accepted_pings(batch), zone))
 
 
 def part_schema(with_id: bool = False) -> T.StructType:
-    fields = "user_id long, dashboard_url string, session_date date, start_time timestamp, last_ping timestamp, duration_minutes long"
-    return T._parse_datatype_string(("id long, " if with_id else "") + fields)
+    instant = T.TimestampType()
+    columns = [("user_id", T.LongType()), ("dashboard_url", T.StringType()), ("session_date", T.DateType())]
+    columns += [("start_time", instant), ("last_ping", instant), ("duration_minutes", T.LongType())]
+    columns = ([("id", T.LongType())] if with_id else []) + columns
+    return T.StructType([T.StructField(name, kind) for name, kind in columns])
+
+
+def partial_sessions(with_id: bool = False) -> PartKind:
+    """Sessions of a part of the pings; they add up to the sessions of all."""
+    return PartKind(part_schema(with_id), merge_partials, day_column="session_date")
 
 
 def read_partials(
@@ -90,17 +99,16 @@ def read_partials(
 
     As a session source: ``lambda ranges: read_partials(spark, path, ranges)``.
     """
-    parts = read_parts(spark, path, part_schema(with_id))
-    return merge_partials(parts.where(within_days(F.col("session_date"), ranges)))
+    return read_parts(spark, path, partial_sessions(with_id), ranges)
 
 
-def compact_partials(spark: SparkSession, path: str, target: str, ranges: Sequence[DayRange]) -> None:
-    """Add up the parts of some days into day partitions of ``target``, replacing those days.
+def compact_partials(spark: SparkSession, path: str, closed: date | None = None, with_id: bool = False) -> list[str | None]:
+    """Merge the parts of days up to ``closed``, and of days with very many parts; returns those days.
 
-    Meant for days that are over: their many small parts become a few files, and readers
-    of old days no longer list them.
+    A day that is over becomes one part; a ping that comes still later becomes a new one and
+    is merged with it the next time.
     """
-    write_sessions(read_partials(spark, path, ranges), target)
+    return compact_parts(spark, path, partial_sessions(with_id), closed=closed)
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
