@@ -437,6 +437,23 @@ ACTIVE_ESTIMATED = f"""
   UNION ALL
   SELECT FALSE, count(DISTINCT user_id), TRUE FROM sessions WHERE session_date >= DATE '2023-12-31' AND {NO_ADMINS}"""
 
+PING_LINES = """
+  lines AS (
+    SELECT CASE WHEN event_id % 19 = 0 THEN 'malformed' WHEN event_id % 17 = 0 OR user_id IS NULL THEN 'no user'
+                WHEN event_id % 13 = 0 THEN 'no page' ELSE 'accepted' END AS outcome,
+           user_id, event_type, ts
+    FROM events)"""
+
+REPLAYED = """
+  SELECT user_id, page AS dashboard_url, CAST(ts - INTERVAL 3 HOUR AS DATE) AS session_date,
+         min(ts) AS start_time, max(ts) AS last_ping,
+         CASE WHEN page = 'LOGIN_PORTAL' THEN 1 ELSE count(*) END AS duration_minutes, count(*) AS pings
+  FROM (SELECT user_id, ts, CASE WHEN outcome = 'no page' THEN 'https://bi.example/r/lost'
+                                 WHEN event_type = 'signup' THEN 'LOGIN_PORTAL'
+                                 ELSE 'https://bi.example/r/' || event_type END AS page
+        FROM lines WHERE outcome IN ('accepted', 'no page'))
+  GROUP BY user_id, page, CAST(ts - INTERVAL 3 HOUR AS DATE)"""
+
 ORACLE: dict[str, str] = {
     "period_bounds": over(PERIODS),
     "base_kpis": over(totals("period")),
@@ -469,6 +486,8 @@ ORACLE: dict[str, str] = {
     "adoption_from_bitmaps_no_admins": adoption(NO_ADMINS),
     "active_users_estimated": over(ACTIVE_ESTIMATED),
     "audit_log": over("SELECT * FROM trail", log("TRUE")),
+    "ping_line_outcomes_stream": over("SELECT outcome, count(*) AS lines FROM lines GROUP BY outcome", PING_LINES),
+    "replayed_pings_stream": over(REPLAYED, PING_LINES),
     "audit_log_newest_days": over("SELECT * FROM trail", log("TRUE")),
     "audit_log_of_user_newest_days": over(
         "SELECT * FROM trail", log("session_date >= DATE '2024-01-27' AND user_id = 7")

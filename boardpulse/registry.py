@@ -21,7 +21,7 @@ from boardpulse.sources.feeds import split_by_required
 from boardpulse.session import pin, run_dir
 from boardpulse.sources.tables import Tables, drop_legacy_columns, from_frame, write_sessions
 from boardpulse.sources.zones import Zone, read_zones, write_zoned_sessions
-from boardpulse.streaming import engagement, ratewatch, rollup
+from boardpulse.streaming import engagement, intake, ratewatch, rollup
 from boardpulse.streaming.runner import drain_partials, drain_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +478,55 @@ def blank_pings_refused_stream(spark, sf_dir):
     return drain_partials(blank_pages(event_stream(spark, sf_dir)), "blanks", LOCAL_ZONE)
 
 
+def ping_lines(events: DataFrame) -> DataFrame:
+    """Events as raw JSON lines of which some are cut off, name nobody, or name no page."""
+    ping = F.to_json(
+        F.struct(
+            F.when(F.col("event_id") % 17 != 0, F.col("user_id")).alias("user_id"),
+            F.when(F.col("event_id") % 13 != 0, testbed.page_url()).otherwise(F.lit("")).alias("dashboard_url"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
+        )
+    )
+    return events.select(F.when(F.col("event_id") % 19 == 0, F.substring(ping, 1, 20)).otherwise(ping).alias("value"))
+
+
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "ping-lines")
+    ping_lines(testbed.read(spark, sf_dir, "events")).repartition(STREAM_FILES).write.text(folder)
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(folder)
+
+
+def outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Lines by what became of them."""
+    accepted = intake.read_accepted(spark, path).agg(F.coalesce(F.sum("pings"), F.lit(0)).alias("lines"))
+    refused = intake.read_refused(spark, path).groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("lines"))
+    return accepted.select(F.lit("accepted").alias("outcome"), "lines").unionByName(refused)
+
+
+@query
+def ping_line_outcomes_stream(spark, sf_dir):
+    lines = line_stream(spark, sf_dir)
+    return drain_parts(spark, "intake", lambda path: intake.write_intake(lines, path), lambda path: outcomes(spark, path))
+
+
+@query
+def replayed_pings_stream(spark, sf_dir):
+    """Sessions after the lines without a page were mended and taken in again, and after compaction."""
+    lines = line_stream(spark, sf_dir)
+
+    def mend(letters: DataFrame) -> DataFrame:
+        named = F.regexp_replace("line", '"dashboard_url":""', f'"dashboard_url":"{testbed.URL_ROOT}lost"')
+        return letters.withColumn("line", F.when(F.col("reason") == intake.NO_PAGE, named).otherwise(F.col("line")))
+
+    def read(path: str) -> DataFrame:
+        intake.replay_refused(spark, path, mend, "pages")
+        intake.replay_refused(spark, path, mend, "pages")
+        intake.compact_intake(spark, path, closed=AS_OF)
+        return intake.read_accepted(spark, path)
+
+    return drain_parts(spark, "replay", lambda path: intake.write_intake(lines, path), read)
+
+
 @query
 def stored_sessions_report(spark, sf_dir):
     """Sessions per day of facts stored by day, after one day was written again with fewer rows."""

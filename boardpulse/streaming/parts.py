@@ -46,6 +46,10 @@ class PartKind:
     merge: Callable[[DataFrame], DataFrame]
     day_column: str = "day"
     day_of: str | None = None
+    output: str = ""
+
+    def holds(self, part: Part) -> bool:
+        return part.more.get("output", "") == self.output
 
     def stored_schema(self) -> T.StructType:
         if self.day_column in self.schema.names:
@@ -75,18 +79,38 @@ def write_parts(
 
 def take_in(spark: SparkSession, path: str, kind: PartKind, rows: DataFrame, writer: str, batch_id: int) -> bool:
     """Store reduced rows as parts, unless this batch of this writer is in the log; whether they were entered."""
+    return take_in_all(spark, path, [(kind, rows)], writer, batch_id)
+
+
+def take_in_all(
+    spark: SparkSession,
+    path: str,
+    outputs: Sequence[tuple[PartKind, DataFrame]],
+    writer: str,
+    batch_id: int,
+    instead_of: Sequence[Part] = (),
+) -> bool:
+    """The same for several outputs of one batch: one entry, so readers see all of them or none.
+
+    ``instead_of`` are parts that the batch was made from; they are retired by the same entry,
+    and if another writer retired one of them first, nothing is entered.
+    """
     log = CommitLog(spark, path)
     if log.newest().taken.get(writer, -1) >= batch_id:
         return False
-    parts = _store(log, kind, rows, {})
+    parts = tuple(part for kind, rows in outputs for part in _store(log, kind, rows, {}))
+    retired, entered = tuple(instead_of), []
 
     def enter(entry: Entry) -> Entry | None:
-        if entry.taken.get(writer, -1) >= batch_id:
+        entered.clear()
+        here = {part.path for part in entry.parts}
+        if entry.taken.get(writer, -1) >= batch_id or not all(part.path in here for part in retired):
             return None
-        return replace(entry.with_parts(parts), taken={**entry.taken, writer: batch_id})
+        entered.append(batch_id)
+        return replace(entry.with_parts(parts, retired), taken={**entry.taken, writer: batch_id})
 
     log.commit(enter)
-    return True
+    return bool(entered)
 
 
 def _store(log: CommitLog, kind: PartKind, rows: DataFrame, levels: dict[str | None, int]) -> tuple[Part, ...]:
@@ -95,25 +119,29 @@ def _store(log: CommitLog, kind: PartKind, rows: DataFrame, levels: dict[str | N
     placed = rows.withColumn(day, local_day(rows, kind.day_of, "UTC")) if kind.day_of else rows
     placed.hint("rebalance", day).write.partitionBy(day).parquet(f"{log.root}/{folder}")
     return tuple(
-        Part(f"{folder}/{name}", found, found, levels.get(found, 0))
+        Part(f"{folder}/{name}", found, found, levels.get(found, 0), {"output": kind.output} if kind.output else {})
         for name in log.folders(folder)
         for found in [None if name.endswith(NO_DAY) else name.partition("=")[2]]
     )
 
 
-def live_parts(spark: SparkSession, path: str, ranges: Sequence[DayRange] = ()) -> list[Part]:
-    """The parts that count now, of all days or of some."""
+def live_parts(
+    spark: SparkSession, path: str, ranges: Sequence[DayRange] = (), kind: PartKind | None = None
+) -> list[Part]:
+    """The parts that count now, of all days or of some, of all kinds or of one."""
     bounds = [(lo and lo.isoformat(), hi and hi.isoformat()) for lo, hi in ranges] or [(None, None)]
-    return [part for part in CommitLog(spark, path).newest().parts if any(part.touches(*bound) for bound in bounds)]
+    wanted = [part for part in CommitLog(spark, path).newest().parts if kind is None or kind.holds(part)]
+    return [part for part in wanted if any(part.touches(*bound) for bound in bounds)]
 
 
 def read_parts(spark: SparkSession, path: str, kind: PartKind, ranges: Sequence[DayRange] = ()) -> DataFrame:
     """The rows of the live parts, added up; empty before the first batch. Only the days asked for are opened."""
-    rows = _rows(spark, path, kind, live_parts(spark, path, ranges))
+    rows = rows_of(spark, path, kind, live_parts(spark, path, ranges, kind))
     return kind.merge(rows.where(within_days(F.col(kind.day_column), ranges)).select(*kind.schema.names))
 
 
-def _rows(spark: SparkSession, path: str, kind: PartKind, parts: Sequence[Part]) -> DataFrame:
+def rows_of(spark: SparkSession, path: str, kind: PartKind, parts: Sequence[Part]) -> DataFrame:
+    """The rows of these parts as they are stored."""
     schema = kind.stored_schema()
     if not parts:
         return spark.createDataFrame([], schema)
@@ -133,7 +161,8 @@ def compact_parts(
     log = CommitLog(spark, path)
     by_day: dict[str | None, list[Part]] = {}
     for part in log.newest().parts:
-        by_day.setdefault(part.low, []).append(part)
+        if kind.holds(part):
+            by_day.setdefault(part.low, []).append(part)
     due: dict[str | None, list[Part]] = {}
     for day, parts in by_day.items():
         if len(parts) > 1 and closed and day and day <= closed.isoformat():
@@ -147,7 +176,7 @@ def compact_parts(
         return []
     old = tuple(part for parts in due.values() for part in parts)
     levels = {day: max(part.level for part in parts) + 1 for day, parts in due.items()}
-    merged = kind.merge(_rows(spark, path, kind, old).select(*kind.schema.names))
+    merged = kind.merge(rows_of(spark, path, kind, old).select(*kind.schema.names))
     new = _store(log, kind, merged, levels)
 
     def swap(entry: Entry) -> Entry | None:

@@ -33,15 +33,16 @@ def _measures(has_id: bool) -> list[Column]:
     return ([F.min("id").alias("id")] if has_id else []) + measures
 
 
-def roll_up(pings: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+def roll_up(pings: DataFrame, zone: str = LOCAL_ZONE, counted: bool = False) -> DataFrame:
     """Sessions of a static ping frame, at any number of pings per key.
 
     Counts and extremes combine before the shuffle, so one user's flood of pings leaves
     every task as a single row per dashboard and day. An ``id`` column is kept as the
-    lowest one.
+    lowest one. ``counted`` adds the number of ``pings``, which a login's length does not tell.
     """
     daily = pings.withColumn("session_date", local_day(pings, "ts", zone))
-    return daily.groupBy(*KEY).agg(*_measures("id" in pings.columns))
+    number = [F.count("*").alias("pings")] if counted else []
+    return daily.groupBy(*KEY).agg(*_measures("id" in pings.columns), *number)
 
 
 def dashboard_sessions(pings: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
@@ -117,8 +118,10 @@ def merge_partials(partials: DataFrame) -> DataFrame:
         F.sum("duration_minutes")
     )
     ids = [F.min("id").alias("id")] if "id" in partials.columns else []
+    numbers = [F.sum("pings").alias("pings")] if "pings" in partials.columns else []
     return partials.groupBy(*KEY).agg(
         *ids,
+        *numbers,
         F.min("start_time").alias("start_time"),
         F.max("last_ping").alias("last_ping"),
         length.alias("duration_minutes"),
