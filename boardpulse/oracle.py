@@ -387,6 +387,15 @@ FINDINGS = f"""
     UNION ALL {_dangling('dashboard_type_id', 'dashboard_links', 'all_links', 'dashboard_types')}
     UNION ALL {_dangling('user_id', 'sessions', 'all_sessions', 'left_users')})"""
 
+DAY_FINDINGS = f"""
+  left_users AS (SELECT * FROM users WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)),
+  all_sessions AS (
+    SELECT * FROM sessions UNION ALL
+    SELECT * FROM sessions WHERE session_date = DATE '2024-01-27' AND user_id % 11 = 0),
+  found AS (
+    {_doubled('sessions.key', "user_id || '|' || dashboard_url || '|' || session_date", 'all_sessions')}
+    UNION ALL {_dangling('user_id', 'sessions', 'all_sessions', 'left_users')})"""
+
 LOADED = """
   all_positions AS (
     SELECT id, name FROM positions
@@ -657,6 +666,7 @@ ORACLE: dict[str, str] = {
         "SELECT * FROM upserted WHERE id IN (SELECT position_id FROM guard WHERE status = 'blocked')",
         f"{POSITION_CHANGES}, {GUARD}",
     ),
+    "integrity_of_changed_days": over("SELECT * FROM found", f"{DAY_FINDINGS}"),
     "integrity_audit": over("SELECT * FROM found", f"{POSITION_CHANGES}, {FINDINGS}"),
     "drop_legacy": over("SELECT * FROM users"),
     "credentials_ready": over("SELECT * FROM users WHERE email IS NOT NULL"),

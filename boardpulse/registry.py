@@ -824,6 +824,20 @@ def integrity_audit(spark, sf_dir):
     return integrity.audit(careless)
 
 
+@query
+def integrity_of_changed_days(spark, sf_dir):
+    """The fact rules after one stored day was written again with repeated sessions and users were lost."""
+    tables = testbed.tables(spark, sf_dir)
+    folder, sessions = run_dir(spark, "audited"), tables.sessions()
+    write_sessions(sessions, f"{folder}/facts")
+    kept = integrity.FactAudit(spark, f"{folder}/facts", f"{folder}/audit", sessions.schema)
+    kept.refresh()
+    day = sessions.where(F.col("session_date") == F.lit(START))
+    write_sessions(day.unionByName(day.where("user_id % 11 = 0")), f"{folder}/facts")
+    kept.refresh()
+    return kept.findings(removal.without(tables.users, "id", overdrawn(spark, sf_dir).select("c_custkey")))
+
+
 @query
 def drop_legacy(spark, sf_dir):
     """Users in the older layout, with one position in the row, brought to the new one."""

@@ -1,4 +1,6 @@
 import json
+import random
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
@@ -305,3 +307,55 @@ def test_sinks_keep_nulls(spark, tables):
     assert '"email":null' in spark.read.text(f"{root}/users").first()[0]
     write_document(UsageReport(tables, as_of=DAY).document(), f"{root}/document")
     assert json.loads(spark.read.text(f"{root}/document").first()[0])["kpis"]["total_sessions"] == 6
+
+
+def test_only_changed_days_are_audited_again(spark, monkeypatch):
+    dice = random.Random(4)
+    rows = [session_row(n, dice.randrange(6), f"p{dice.randrange(3)}", DAY + timedelta(days=dice.randrange(4))) for n in range(60)]
+    facts = seed_rows(spark, rows, schemas.SESSIONS)
+    users = seed_rows(spark, [person(number) for number in (1, 2, 4)], schemas.USERS)
+    folder = run_dir(spark, "audited")
+    kept = integrity.FactAudit(spark, f"{folder}/f", f"{folder}/a", facts.schema)
+
+    def expected(frame):
+        whole = integrity.fact_findings(integrity.day_users(frame), users)
+        again = integrity.duplicates(frame, ["user_id", "dashboard_url", "session_date"]).count()
+        lost = integrity.orphans(frame, "user_id", users).count()
+        assert (whole[0].count(), whole[1].count()) == (again, lost)
+        return rows_of(whole[0].unionByName(whole[1]))
+
+    def rows_of(frame):
+        return sorted(map(tuple, frame.select("check", "key", "rows").collect()))
+
+    write_sessions(facts, f"{folder}/f")
+    assert len(kept.refresh()) == 4
+    assert rows_of(kept.findings(users)) == expected(facts)
+    assert kept.refresh() == []
+    # One day is written again: that day alone is read.
+    day = facts.where(F.col("session_date") == F.lit(DAY))
+    write_sessions(day.limit(3).unionByName(day.limit(3)), f"{folder}/f")
+    # A run that dies before the fingerprint leaves the day to be done.
+    with monkeypatch.context() as patched:
+        write = kept._write
+        patched.setattr(kept, "_write", lambda frame, name: write(frame, name) if name == "days" else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            kept.refresh()
+    assert kept.refresh() == [DAY]
+    stored = spark.read.schema(facts.schema).parquet(f"{folder}/f")
+    assert rows_of(kept.findings(users)) == expected(stored)
+    # A day that is gone does not count any more.
+    fewer = facts.where(F.col("session_date") > F.lit(DAY))
+    write_sessions(fewer, f"{folder}/f", replace_all=True)
+    assert DAY not in kept.refresh()
+    assert rows_of(kept.findings(users)) == expected(fewer)
+
+
+def test_audit_reads_the_facts_once(spark, tables):
+    reads = []
+
+    def source(ranges):
+        reads.append(ranges)
+        return tables.session_source(ranges)
+
+    integrity.audit(replace(tables, session_source=source)).collect()
+    assert len(reads) == 1
