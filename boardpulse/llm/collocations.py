@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardpulse.llm.shared import in_arrow, slices, stored
+from boardpulse.llm.shared import encode_frame, in_arrow, slices, stored
 from boardpulse.operators.numbering import number_rows
 
 # A-Z; where pieces end (. , ; : ! ? and the line breaks \n to \r).
@@ -50,7 +50,10 @@ GRID, FULL_ENOUGH = 16, 16
 CHUNK_BITS = 32
 
 WORDS = "chunk long, lang string, keys array<binary>, counts array<long>, seq binary"
-PAIRS = "chunk long, lang string, keys array<struct<left:long,right:long>>, counts array<long>, seq binary"
+# Pairs as packed numbers: one value per chunk and column, not one per pair.
+PAIRS = "chunk long, lang string, left binary, right binary, counts binary, seq binary"
+COUNTS = "left long, right long, n long"
+HELD = "chunk long, place int, left long, right long"
 
 
 class _Places(dict):
@@ -90,13 +93,15 @@ def _row(chunk: int, lang: str, keys: pa.Array, counts: np.ndarray, seq: np.ndar
 
 
 def chunk_words(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
-    """Level 1: one row per chunk of about ``most`` bytes and language."""
+    """Level 1: one row, with a number of its own, per chunk of about ``most`` bytes and language."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, open_chunks = TaskContext.get().partitionId(), 0, 0, {}
 
         def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal number
             for lang, chunk in open_chunks.items():
+                number += 1
                 seq = np.frombuffer(chunk.seq, np.int32)
                 counts = np.bincount(seq[seq >= 0], minlength=len(chunk.places))
                 yield _row((part << CHUNK_BITS) + number, lang, pa.array(list(chunk.places), pa.binary()), counts, seq)
@@ -108,7 +113,7 @@ def chunk_words(docs: DataFrame, lang_column: str = "lang", text_column: str = "
                         continue
                     if held and held + len(text) > most:
                         yield from rows()
-                        number, held, open_chunks = number + 1, 0, {}
+                        held, open_chunks = 0, {}
                     if lang not in open_chunks:
                         open_chunks[lang] = _Chunk()
                     open_chunks[lang].add(text)
@@ -144,51 +149,77 @@ def tiles(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([*codes, sparse]), np.concatenate([*counts, times]), inverse
 
 
+def _numbers(column: pa.Array, row: int, kind: type) -> np.ndarray:
+    return np.frombuffer(column[row].as_buffer(), kind)
+
+
+def _chunk_pairs(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Neighbours in one chunk (chunk, lang, seq, known): left and right ids, counts, and the sequence of their places."""
+    known = batch.column(3).slice(k, 1).flatten()
+    ids, places = (known.field(name).to_numpy(zero_copy_only=False) for name in ("id", "place"))
+    seq = _numbers(batch.column(2), k, np.int32)
+    # Places of the chunk's list to ranks within the chunk; the last entry stands for -1.
+    rank = np.full(max(int(seq.max(initial=-1)), int(places.max(initial=-1))) + 2, -1, np.int64)
+    rank[places] = np.arange(len(places))
+    ranked = rank[seq]
+    x, y = ranked[:-1], ranked[1:]
+    met = (x >= 0) & (y >= 0)
+    if not met.any():
+        return None
+    codes, counts, inverse = tiles(x[met], y[met], len(ids))
+    following = np.full(len(x), -1, np.int32)
+    following[met] = inverse
+    return ids[codes // len(ids)], ids[codes % len(ids)], counts, following
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The next level of each chunk."""
     for batch in batches:
         for k in range(batch.num_rows):
-            known = batch.column(3).slice(k, 1).flatten()
-            ids, places = (known.field(name).to_numpy(zero_copy_only=False) for name in ("id", "place"))
-            seq = np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
-            # Places of the chunk's list to ranks within the chunk; the last entry stands for -1.
-            rank = np.full(max(int(seq.max(initial=-1)), int(places.max(initial=-1))) + 2, -1, np.int64)
-            rank[places] = np.arange(len(places))
-            ranked = rank[seq]
-            x, y = ranked[:-1], ranked[1:]
-            both = (x >= 0) & (y >= 0)
-            if not both.any():
-                continue
-            codes, counts, inverse = tiles(x[both], y[both], len(ids))
-            following = np.full(len(x), -1, np.int32)
-            following[both] = inverse
-            keys = pa.StructArray.from_arrays(
-                [pa.array(ids[codes // len(ids)]), pa.array(ids[codes % len(ids)])], ["left", "right"]
-            )
-            yield _row(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), keys, counts, following)
+            if found := _chunk_pairs(batch, k):
+                packed = {name: pa.array([part.tobytes()], pa.binary()) for name, part in zip(("left", "right", "counts", "seq"), found)}
+                yield encode_frame({"chunk": batch.column(0).slice(k, 1), "lang": batch.column(1).slice(k, 1), **packed})
 
 
-def _counted(level: DataFrame, least: int, by: list[str]) -> DataFrame:
+def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the counts of each chunk: where no longer phrase is wanted nothing has to be kept."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if found := _chunk_pairs(batch, k):
+                yield from _cut({"left": found[0], "right": found[1], "n": found[2]})
+
+
+def _cut(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    size = len(next(iter(columns.values())))
+    for begin in range(0, size, rows):
+        yield encode_frame({name: pa.array(values[begin : begin + rows]) for name, values in columns.items()})
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from _cut({name: _numbers(batch.column(c), k, np.int64) for c, name in enumerate(("left", "right", "n"))})
+
+
+def _pair_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            left, right = (_numbers(batch.column(c), k, np.int64) for c in (1, 2))
+            chunk = np.full(len(left), batch.column(0)[k].as_py(), np.int64)
+            yield from _cut({"chunk": chunk, "place": np.arange(len(left), dtype=np.int32), "left": left, "right": right})
+
+
+def _counted(counts: DataFrame, least: int, by: list[str]) -> DataFrame:
     """Keys of at least ``least`` occurrences with ``f``, numbered from 1 by frequency."""
-    entry = level.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("entry"))
-    keys = [F.col("lang"), F.col("entry.keys").alias("key")] if by == ["lang", "key"] else [
-        F.col("entry.keys.left").alias("left"), F.col("entry.keys.right").alias("right")
-    ]
-    sums = entry.select(*keys, F.col("entry.counts").alias("n")).groupBy(*by).agg(F.sum("n").alias("f"))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("f"))
     frequent = stored(sums.where(F.col("f") >= least).withColumn("rarity", -F.col("f")), "frequent")
     return stored(number_rows(frequent, ["rarity", *by], "id", F.lit(0)).drop("rarity"), "ranked")
 
 
-def _next_level(level: DataFrame, ranked: DataFrame, by: list[str]) -> DataFrame:
-    """The level of phrases one word longer."""
-    held = level.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
-    if by != ["lang", "key"]:
-        held = held.select("chunk", "lang", "place", "key.left", "key.right")
-    known = (
-        held.join(ranked.select("id", *by), by)
-        .groupBy("chunk", "lang")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "place"))).alias("known"))
-    )
-    return in_arrow(level.select("chunk", "lang", "seq").join(known, ["chunk", "lang"]).select("chunk", "lang", "seq", "known"), _pairs, PAIRS)
+def _known(level: DataFrame, held: DataFrame, ranked: DataFrame, by: list[str]) -> DataFrame:
+    """Each chunk's sequence with those of its keys that are frequent, by rank."""
+    known = held.join(ranked.select("id", *by), by).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("id", "place"))).alias("known"))
+    return level.select("chunk", "lang", "seq").join(known, "chunk").select("chunk", "lang", "seq", "known")
 
 
 def _score(a: Column, left: Column, right: Column, scale: int) -> Column:
@@ -217,17 +248,24 @@ def mine_phrases(
     level = stored(chunk_words(docs, lang_column, text_column, chunk_bytes), "words")
     totals = stored(level.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
     by = ["lang", "key"]
-    ranked = _counted(level, least, by)
+    entry = level.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("entry"))
+    ranked = _counted(entry.select("lang", F.col("entry.keys").alias("key"), F.col("entry.counts").alias("n")), least, by)
     none = F.array().cast("array<long>")
     phrases = ranked.select(
         "id", "lang", F.col("key").cast("string").alias("phrase"), F.col("key").cast("string").alias("last"), "f",
         none.alias("heads"), none.alias("tails"),
     )
+    held = level.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
     candidates, covers = [], []
     for words in range(2, longest + 1):
-        level = stored(_next_level(level, ranked, by), "pairs")
+        known = _known(level, held, ranked, by)
         by = ["left", "right"]
-        ranked = _counted(level, least, by)
+        if words < longest:
+            level = stored(in_arrow(known, _pairs, PAIRS), "pairs")
+            ranked = _counted(in_arrow(level.select("left", "right", "counts"), _pair_counts, COUNTS), least, by)
+            held = in_arrow(level.select("chunk", "left", "right"), _pair_places, HELD)
+        else:
+            ranked = _counted(in_arrow(known, _last_pairs, COUNTS), least, by)
         head = phrases.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("f").alias("head_f"), "heads")
         tail = phrases.select(F.col("id").alias("right"), "last", F.col("f").alias("tail_f"), "tails")
         phrases = stored(
