@@ -446,6 +446,49 @@ ACTIVE_ESTIMATED = f"""
   UNION ALL
   SELECT FALSE, count(DISTINCT user_id), TRUE FROM sessions WHERE session_date >= DATE '2023-12-31' AND {NO_ADMINS}"""
 
+REQUESTED = f"""
+  asked AS (
+    SELECT CAST(c_custkey AS BIGINT) AS request_id,
+           CASE WHEN c_custkey % 10 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 29 AS INTEGER) END AS low,
+           CASE WHEN c_custkey % 8 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 29 + c_custkey % 9 AS INTEGER) END AS high,
+           CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS place,
+           CASE c_custkey % 5 WHEN 0 THEN 'Ventas' WHEN 1 THEN 'Stock' WHEN 2 THEN 'Nada' END AS board,
+           CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 7 END AS person, c_custkey % 2 = 0 AS plain
+    FROM customer),
+  dated AS (
+    SELECT * REPLACE (coalesce(low, coalesce(high, DATE '2024-01-30') - 7) AS low, coalesce(high, DATE '2024-01-30') AS high) FROM asked),
+  both_periods AS (
+    SELECT *, low AS a, high AS b, 'cur' AS period FROM dated UNION ALL
+    SELECT *, low - CAST(high - low + 1 AS INTEGER), low - 1, 'prev' FROM dated),
+  named_weight AS (
+    SELECT name, url, count(DISTINCT dashboard_type_id) AS weight
+    FROM dashboard_links JOIN dashboard_types t ON t.id = dashboard_type_id GROUP BY ALL),
+  hits AS (
+    SELECT request_id, period, s.user_id, s.duration_minutes,
+           CASE WHEN board IS NULL THEN coalesce(p.weight, 1) ELSE coalesce(w.weight, 0) END AS times
+    FROM both_periods r JOIN sessions s ON s.session_date BETWEEN a AND b
+    LEFT JOIN page_weight p ON p.page = s.dashboard_url
+    LEFT JOIN named_weight w ON w.name = r.board AND w.url = s.dashboard_url
+    WHERE (person IS NULL OR s.user_id = person)
+      AND (place IS NULL OR (s.user_id, place) IN (SELECT (user_id, position_id) FROM user_positions))
+      AND (NOT plain OR {NO_ADMINS.replace("user_id", "s.user_id")})),
+  summed AS (
+    SELECT request_id,
+           {", ".join(
+               f"CAST(coalesce(sum(duration_minutes * times) FILTER (period = '{p}'), 0) AS BIGINT) AS {p}_total_minutes, "
+               f"CAST(coalesce(sum(times) FILTER (period = '{p}'), 0) AS BIGINT) AS {p}_total_sessions, "
+               f"count(DISTINCT user_id) FILTER (period = '{p}' AND times > 0) AS {p}_unique_users"
+               for p in ("cur", "prev"))}
+    FROM dated LEFT JOIN hits USING (request_id) GROUP BY request_id)"""
+
+PER_REQUEST = f"""
+  SELECT *, {tenth("cur_total_sessions", "cur_unique_users")} AS avg_sessions_user,
+         {tenth("cur_total_minutes", "cur_total_sessions")} AS avg_time_session,
+         {change("cur_unique_users", "prev_unique_users")} AS var_users,
+         {change("cur_total_sessions", "prev_total_sessions")} AS var_sessions,
+         {change("cur_total_minutes", "prev_total_minutes")} AS var_time
+  FROM summed"""
+
 PING_LINES = """
   lines AS (
     SELECT CASE WHEN event_id % 19 = 0 THEN 'malformed' WHEN event_id % 17 = 0 OR user_id IS NULL THEN 'no user'
@@ -495,6 +538,7 @@ ORACLE: dict[str, str] = {
     "adoption_from_bitmaps_no_admins": adoption(NO_ADMINS),
     "active_users_estimated": over(ACTIVE_ESTIMATED),
     "audit_log": over("SELECT * FROM trail", log("TRUE")),
+    "base_kpis_of_requests": over(PER_REQUEST, REQUESTED),
     "ping_line_outcomes_stream": over("SELECT outcome, count(*) AS lines FROM lines GROUP BY outcome", PING_LINES),
     "replayed_pings_stream": over(REPLAYED, PING_LINES),
     "audit_log_newest_days": over("SELECT * FROM trail", log("TRUE")),

@@ -16,6 +16,7 @@ from boardpulse.plans import access, audit, directory
 from boardpulse.plans.params import ReportParams
 from boardpulse.plans.periods import period_overview
 from boardpulse.plans.report import ACTIVE_DAYS, UsageReport
+from boardpulse.plans.requests import base_kpis_of
 from boardpulse.sources import testbed
 from boardpulse.sources.feeds import split_by_required
 from boardpulse.session import pin, run_dir
@@ -243,6 +244,27 @@ def active_users_estimated(spark, sf_dir):
     return counts.select("with_admins", "active_users", near.alias("near"))
 
 
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per customer: dates, position, dashboard, user and admins as the numbers of the customer say."""
+    key = F.col("c_custkey")
+    start = F.date_add(F.lit(date(2024, 1, 1)), (key % 29).cast("int"))
+    return testbed.read(spark, sf_dir, "customer").select(
+        key.cast("long").alias("request_id"),
+        F.when(key % 10 != 0, start).alias("start_date"),
+        F.when(key % 8 != 0, F.date_add(start, (key % 9).cast("int"))).alias("end_date"),
+        F.when(key % 3 == 0, F.col("c_nationkey")).cast("long").alias("position_id"),
+        F.when(key % 5 == 0, "Ventas").when(key % 5 == 1, "Stock").when(key % 5 == 2, "Nada").alias("dashboard_name"),
+        F.when(key % 7 == 0, F.floor(key / 7)).cast("long").alias("user_id"),
+        (key % 2 == 0).alias("exclude_admins"),
+    )
+
+
+@query
+def base_kpis_of_requests(spark, sf_dir):
+    """Base KPIs of as many requests as there are customers, each with filters of its own."""
+    return doubles(base_kpis_of(testbed.tables(spark, sf_dir), request_table(spark, sf_dir), AS_OF))
+
+
 # -- audit log ---------------------------------------------------------------------------
 
 
