@@ -26,6 +26,7 @@ from boardpulse.functions.numbers import ratio
 from boardpulse.operators.links import url_weights
 from boardpulse.operators.scope import is_admin
 from boardpulse.plans.params import ReportParams
+from boardpulse.sources.feeds import seed_rows
 from boardpulse.sources.tables import Tables
 
 # Base-2 logarithm of the number of registers: 16,384 of them, an error of 0.8 %.
@@ -43,6 +44,7 @@ BITMAPS = T.StructType(
 SKETCHES = T.StructType(
     [T.StructField(PAGE, T.StringType()), T.StructField("sketch", T.BinaryType()), T.StructField(DAY, T.DateType())]
 )
+PERIODS = T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.DateType()), T.StructField("end", T.DateType())])
 
 
 def relative_error(precision: int = PRECISION) -> float:
@@ -124,7 +126,7 @@ class Presence:
             held = self.tables.user_positions.where(F.col("position_id") == params.position_id)
             present = both(present, bitmaps(held, "user_id"))
         if params.user_id is not None:
-            alone = self.tables.spark.range(1).select(F.lit(params.user_id).cast("long").alias("user_id"))
+            alone = seed_rows(self.tables.spark, [(params.user_id,)], T.StructType([T.StructField("user_id", T.LongType())]))
             present = both(present, bitmaps(alone, "user_id"))
         counted = present.select("name", F.bitmap_count("users").alias("n"))
         if params.exclude_admins:
@@ -163,9 +165,7 @@ class Presence:
         since = as_of - timedelta(days=reach)
         everyone = ReportParams(exclude_admins=params.exclude_admins)
         if exact:
-            period = self.tables.spark.range(1).select(
-                F.lit("active").alias("name"), F.lit(since).alias("start"), F.lit(None).cast("date").alias("end")
-            )
+            period = seed_rows(self.tables.spark, [("active", since, None)], PERIODS)
             active = self.users_of(period, everyone).select("unique_users")
         else:
             active = self.estimate([(since, None)], everyone)

@@ -30,8 +30,11 @@ user_positions AS (
   UNION
   SELECT c_custkey, CAST((c_nationkey + 7) % 25 AS BIGINT) FROM customer WHERE c_custkey % 3 = 0),
 dashboard_types AS (
-  SELECT CAST(id AS BIGINT) AS id, name, CAST(NULL AS VARCHAR) AS description
-  FROM (VALUES (1, 'Ventas'), (2, 'Stock'), (3, 'Finanzas'), (4, 'Admin')) v(id, name)),
+  SELECT CAST(r_regionkey + 1 AS BIGINT) AS id,
+         CASE r_regionkey WHEN 0 THEN 'Ventas' WHEN 1 THEN 'Stock' WHEN 2 THEN 'Finanzas' WHEN 3 THEN 'Admin'
+              ELSE r_name END AS name,
+         CASE WHEN r_regionkey > 3 THEN lower(r_name) END AS description
+  FROM region),
 page_types AS (
   SELECT * FROM (VALUES ('click', 1), ('view', 1), ('view', 2), ('purchase', 3), ('error', 4)) v(page, type_id)),
 dashboard_links AS (
@@ -530,6 +533,8 @@ ORACLE: dict[str, str] = {
     ),
     "top_users": over(TOP_USERS),
     "report_kpis": over("SELECT * FROM k", kpis(HOLDS, NO_ADMINS)),
+    "report_kpis_from_text": over("SELECT * FROM k", kpis(HOLDS, NO_ADMINS)),
+    "position_rows_written": over(BY_POSITION),
     "report_document": over(DOCUMENT, kpis()),
     "kpi_cards": over(CARDS, kpis()),
     "unique_users_of_periods": over(USERS_OF_PERIODS),

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from boardpulse.functions.calendar import LOCAL_ZONE, Period, preset_bounds
 from boardpulse.operators import changes, integrity, removal
-from boardpulse.operators.presence import Presence, relative_error, write_presence
+from boardpulse.operators.presence import PERIODS, Presence, relative_error, write_presence
 from boardpulse.plans import access, audit, directory
 from boardpulse.plans.params import ReportParams
 from boardpulse.plans.periods import period_overview
 from boardpulse.plans.report import ACTIVE_DAYS, UsageReport
 from boardpulse.plans.requests import base_kpis_of
 from boardpulse.sources import testbed
-from boardpulse.sources.feeds import split_by_required
+from boardpulse.sources.feeds import seed_rows, split_by_required
 from boardpulse.session import pin, run_dir
+from boardpulse.sources.sinks import write_rows
 from boardpulse.sources.tables import Tables, drop_legacy_columns, from_frame, write_sessions
 from boardpulse.sources.zones import Zone, read_zones, write_zoned_sessions
 from boardpulse.streaming import engagement, intake, ratewatch, rollup
@@ -161,6 +162,24 @@ def report_kpis(spark, sf_dir):
     return doubles(flat.drop("top_dashboard"))
 
 
+@query
+def report_kpis_from_text(spark, sf_dir):
+    """The KPIs of a report asked for in query-string form."""
+    asked = {"from": START.isoformat(), "to": END.isoformat(), "positionId": str(POSITION), "userId": "", "exclude_admins": "true"}
+    kpis = UsageReport(testbed.tables(spark, sf_dir), ReportParams.from_query(asked), AS_OF).kpis()
+    top = F.col("top_dashboard")
+    return doubles(kpis.withColumns({"top_name": top["name"], "top_count": top["count"]}).drop("top_dashboard"))
+
+
+@query
+def position_rows_written(spark, sf_dir):
+    """A section written as a row set and read back."""
+    rows = report(spark, sf_dir).by_position()
+    folder = run_dir(spark, "rows")
+    write_rows(rows, folder, "json")
+    return spark.read.schema(rows.schema).json(folder)
+
+
 @query
 def report_document(spark, sf_dir):
     return report(spark, sf_dir).document()
@@ -187,7 +206,7 @@ def unique_users_of_periods(spark, sf_dir):
     """Unique users of the period and the one before under each filter and under all."""
     kept = presence(spark, sf_dir)
     now, before = Period(START, END), Period(START, END).previous()
-    periods = spark.createDataFrame([("now", now.start, now.end), ("before", before.start, before.end)], "name string, start date, end date")
+    periods = seed_rows(spark, [("now", now.start, now.end), ("before", before.start, before.end)], PERIODS)
     filters = {
         "none": {},
         "position": {"position_id": POSITION},
@@ -231,7 +250,7 @@ def active_users_estimated(spark, sf_dir):
     """Exact active users, and whether the estimates stay within three standard errors."""
     kept = presence(spark, sf_dir)
     since = AS_OF - timedelta(days=ACTIVE_DAYS)
-    period = spark.createDataFrame([("active", since, None)], "name string, start date, end date")
+    period = seed_rows(spark, [("active", since, None)], PERIODS)
     counts = None
     for admins in (True, False):
         params = ReportParams(exclude_admins=not admins)

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boardpulse.functions.calendar import LOCAL_ZONE, DayRange, within_instants
-from boardpulse.sources import schemas
-from boardpulse.sources.feeds import seed_rows
 from boardpulse.sources.tables import Tables
 from boardpulse.streaming.rollup import LOGIN_PORTAL, roll_up
 
 URL_ROOT = "https://bi.example/r/"
 
-TYPES = [(1, "Ventas"), (2, "Stock"), (3, "Finanzas"), (4, "Admin")]
+# What the regions are called as dashboard types, by region key; others keep their name.
+TYPE_NAMES = ["Ventas", "Stock", "Finanzas", "Admin"]
 
 # Which report pages show which dashboard type.
 PAGE_TYPES = [("click", 1), ("view", 1), ("view", 2), ("purchase", 3), ("error", 4)]
@@ -82,8 +81,14 @@ def user_positions(customer: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_types(spark: SparkSession) -> DataFrame:
-    return seed_rows(spark, [(number, name, None) for number, name in TYPES], schemas.DASHBOARD_TYPES)
+def dashboard_types(region: DataFrame) -> DataFrame:
+    key = F.col("r_regionkey").cast("int")
+    names = F.array(*[F.lit(name) for name in TYPE_NAMES])
+    return region.select(
+        (key + 1).cast("long").alias("id"),
+        F.coalesce(F.get(names, key), F.col("r_name")).alias("name"),
+        F.when(key < len(TYPE_NAMES), F.lit(None)).otherwise(F.lower("r_name")).cast("string").alias("description"),
+    )
 
 
 def dashboard_links(nation: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def tables(spark: SparkSession, sf_dir: str, zone: str = LOCAL_ZONE) -> Tables:
         users=users(customer),
         positions=positions(nation),
         user_positions=user_positions(customer),
-        dashboard_types=dashboard_types(spark),
+        dashboard_types=dashboard_types(read(spark, sf_dir, "region")),
         dashboard_links=dashboard_links(nation),
         session_source=lambda ranges: roll_up(pings(spark, sf_dir, ranges), zone),
     )

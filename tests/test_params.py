@@ -1,9 +1,10 @@
-from datetime import date
+from datetime import date, datetime, timezone
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from boardpulse.functions import calendar
 from boardpulse.functions.calendar import Period, fixed_offset, preset_bounds
 from boardpulse.plans.params import ReportParams
 
@@ -63,3 +64,27 @@ def test_offsets():
     assert fixed_offset("Etc/GMT+3").total_seconds() == -3 * 3600
     assert fixed_offset("America/Argentina/Buenos_Aires") is None  # it had others before
     assert fixed_offset("Europe/Madrid") is None
+
+
+@pytest.mark.parametrize(
+    "instant, zone, expected",
+    [
+        ("2024-03-10T02:59:59", "America/Argentina/Buenos_Aires", date(2024, 3, 9)),
+        ("2024-03-10T03:00:00", "America/Argentina/Buenos_Aires", date(2024, 3, 10)),
+        ("2024-03-10T22:59:59", "Europe/Madrid", date(2024, 3, 10)),
+        ("2024-03-10T23:00:00", "Europe/Madrid", date(2024, 3, 11)),
+        # Summer time: midnight comes an hour earlier.
+        ("2024-07-10T22:00:00", "Europe/Madrid", date(2024, 7, 11)),
+        ("2024-03-10T18:30:00", "Asia/Kolkata", date(2024, 3, 11)),
+        ("2024-03-10T09:59:59", "Pacific/Kiritimati", date(2024, 3, 10)),
+        ("2024-12-31T10:00:00", "Pacific/Kiritimati", date(2025, 1, 1)),
+    ],
+)
+def test_today_is_the_local_day(monkeypatch, instant, zone, expected):
+    class Clock(datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return datetime.fromisoformat(instant).replace(tzinfo=timezone.utc).astimezone(tz)
+
+    monkeypatch.setattr(calendar, "datetime", Clock)
+    assert calendar.today_in(zone) == expected
