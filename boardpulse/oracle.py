@@ -706,6 +706,7 @@ ORACLE: dict[str, str] = {
     "purge_users": over(f"SELECT * FROM users WHERE id NOT IN {IN_DEBT}"),
     "purge_users_positions": over(f"SELECT * FROM user_positions WHERE user_id NOT IN {IN_DEBT}"),
     "purge_users_sessions": over(f"SELECT * FROM sessions WHERE user_id NOT IN {IN_DEBT}"),
+    "purge_users_stored_sessions": over(f"SELECT * FROM sessions WHERE user_id NOT IN {IN_DEBT}"),
     "purge_types": over("SELECT * FROM dashboard_types WHERE id NOT IN (SELECT id FROM doomed)", TOP_TYPE),
     "purge_types_links": over(
         "SELECT * FROM dashboard_links WHERE dashboard_type_id NOT IN (SELECT id FROM doomed)", TOP_TYPE

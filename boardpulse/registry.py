@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boardpulse.functions.calendar import LOCAL_ZONE, Period, preset_bounds
 from boardpulse.operators import changes, integrity, removal
 from boardpulse.operators.presence import PERIODS, Presence, relative_error, write_presence
+from boardpulse.operators.stored_purge import purge_stored_facts
 from boardpulse.plans import access, audit, directory
 from boardpulse.plans.params import ReportParams
 from boardpulse.plans.periods import period_overview
@@ -796,6 +797,16 @@ def purge_users(spark, sf_dir):
     return purged(spark, sf_dir).users
 
 
+@query
+def purge_users_stored_sessions(spark, sf_dir):
+    """Stored facts after indebted users were taken out, from the days they were there."""
+    folder, sessions = run_dir(spark, "purged"), testbed.tables(spark, sf_dir).sessions()
+    write_sessions(sessions, f"{folder}/facts")
+    write_presence(sessions, f"{folder}/presence")
+    purge_stored_facts(spark, f"{folder}/facts", f"{folder}/presence", sessions.schema, overdrawn(spark, sf_dir).select("c_custkey"))
+    return spark.read.schema(sessions.schema).parquet(f"{folder}/facts")
+
+
 @query
 def purge_users_positions(spark, sf_dir):
     return purged(spark, sf_dir).user_positions
