@@ -11,7 +11,8 @@ over-fitting produces, is pushed back to zero (Kiryo et al. 2017).
 
 Features are a word, its first four and its first five letters, present or absent in the
 whole text; those clearly more frequent in toxic than in unlabelled texts are kept. The
-samples for fitting are bounded (``most_positive``, ``most_unlabelled``); every row is
+samples for fitting are bounded (``most_positive``, ``most_unlabelled``), their features are
+counted and chosen in Spark, and the driver gets places of chosen features only; every row is
 scored over its whole text in one pass without a shuffle.
 
 Defined results: null and empty texts have no features and score the bias alone; without
@@ -27,11 +28,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardpulse.llm.labelled import labelled_ids, sample_ids, texts_of
-from boardpulse.llm.shared import encode_frame, in_arrow, slices
+from boardpulse.llm.shared import encode_frame, in_arrow, slices, stored
 
 WORD = re.compile(r"[^\W_]+")
 # Words remembered by one worker, at most.
@@ -119,23 +121,28 @@ def _shares(texts: list[set[str]]) -> dict[str, float]:
 
 
 def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most: int = 1024, steps: int = 300) -> ToxicModel:
-    """Fit the classifier with the non-negative risk estimator, full batches and Adam."""
+    """Fit to a few texts at hand, given as their features."""
     if not positive:
         return ToxicModel()
-    if not unlabelled:
-        unlabelled = [set()]
-    prior = min(max(prior, 1e-3), 0.5)
+    unlabelled = unlabelled or [set()]
     names = choose(positive, unlabelled, most)
     places = {name: place for place, name in enumerate(names)}
+    xp, xu = (_matrix([[places[f] for f in text if f in places] for text in texts], len(names)) for texts in (positive, unlabelled))
+    return descend(names, xp, xu, prior, steps)
+
+
+def _matrix(texts: list[list[int]], n_features: int) -> np.ndarray:
+    """Present features of each text as ones, and a last column of ones for the bias."""
+    out = np.zeros((len(texts), n_features + 1), np.float32)
+    out[:, -1] = 1
+    for row, places in enumerate(texts):
+        out[row, places] = 1
+    return out
 
-    def matrix(texts: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(texts), len(names) + 1), np.float32)
-        out[:, -1] = 1
-        for row, features in enumerate(texts):
-            out[row, [places[f] for f in features if f in places]] = 1
-        return out
 
-    xp, xu = matrix(positive), matrix(unlabelled)
+def descend(names: list[str], xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300) -> ToxicModel:
+    """Minimise the non-negative risk estimator with full batches and Adam."""
+    prior = min(max(prior, 1e-3), 0.5)
     w = np.zeros(len(names) + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -151,6 +158,19 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most
     return ToxicModel(dict(zip(names, w[:-1].tolist())), float(w[-1]))
 
 
+def strongest(described: DataFrame, n_positive: int, n_unlabelled: int, most: int) -> list[str]:
+    """The rule of :func:`choose`, counted in Spark over rows of ``positive`` and ``features``."""
+    p, u = F.col("p") / n_positive, F.col("u") / n_unlabelled
+    pooled = (F.col("p") + F.col("u")) / (n_positive + n_unlabelled)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n_positive + 1 / n_unlabelled))
+    counts = described.select("positive", F.explode("features").alias("name")).groupBy("name").agg(
+        F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("u")
+    )
+    rated = counts.where("p > 0").select("name", p.alias("p"), u.alias("u"), ((p - u) / F.when(error > 0, error).otherwise(1.0)).alias("z"))
+    best = rated.where((F.col("z") >= 4) & (F.col("p") >= 3 * F.col("u"))).orderBy(F.desc("z"), "name").limit(most)
+    return [row["name"] for row in best.select("name").collect()]
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -158,6 +178,7 @@ def fit_toxicity(
     label: str = "toxic",
     most_positive: int = 2000,
     most_unlabelled: int = 4000,
+    most_features: int = 1024,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> ToxicModel:
@@ -179,12 +200,24 @@ def fit_toxicity(
                 yield encode_frame({"id": batch.column(0), "features": pa.array(features, pa.list_(pa.string()))})
 
     sample = texts_of(docs, sorted(known | set(unlabelled)), id_column, text_column)
-    rows = in_arrow(sample, describe, "id long, features array<string>").toLocalIterator()
-    intern: dict[str, str] = {}
-    groups: tuple[list, list] = ([], [])
-    for row in rows:
-        groups[row.id in known].append({intern.setdefault(f, f) for f in row.features})
-    return fit(groups[1], groups[0], share)
+    toxic = docs.sparkSession.createDataFrame([(i,) for i in positive], "toxic_id long")
+    marked = in_arrow(sample, describe, "id long, features array<string>").join(F.broadcast(toxic), F.col("id") == F.col("toxic_id"), "left")
+    described = stored(marked.select(F.col("toxic_id").isNotNull().alias("positive"), "features"), "toxic-sample")
+    sizes = {row["positive"]: row["count"] for row in described.groupBy("positive").count().collect()}
+    if not sizes.get(True):
+        return ToxicModel()
+    names = strongest(described, sizes[True], max(sizes.get(False, 0), 1), most_features)
+    places = {name: place for place, name in enumerate(names)}
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [[places[f] for f in features if f in places] for features in batch.column(1).to_pylist()]
+            yield encode_frame({"positive": batch.column(0), "places": pa.array(kept, pa.list_(pa.int32()))})
+
+    # A few thousand rows of places: what the driver gets does not depend on the length of texts.
+    rows = in_arrow(described, locate, "positive boolean, places array<int>").toArrow()
+    xs = [_matrix(rows.filter(pc.equal(rows["positive"], side))["places"].to_pylist(), len(names)) for side in (True, False)]
+    return descend(names, xs[0], xs[1] if len(xs[1]) else _matrix([[]], len(names)), share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
