@@ -210,7 +210,7 @@ def _short_buckets(firsts: DataFrame) -> DataFrame:
     times = runs.groupBy("run").agg(F.count(F.lit(1)).alias("times"))
     rarest = Window.partitionBy("node").orderBy("times", "run")
     needed = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
-    first = runs.join(times, "run").withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= needed) & (F.col("times") > 1))
+    first = runs.join(times.hint("merge"), "run").withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= needed) & (F.col("times") > 1))
     return first.select("node", "n", F.xxhash64(F.lit("short"), "run").alias("bucket"))
 
 
@@ -257,7 +257,7 @@ def _within_buckets(rows: DataFrame, codes: DataFrame) -> DataFrame:
     placed = rows.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     pairs = pairs.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block")
-    filled = pairs.join(codes, "node").select("bucket", "low", "high", "node", "label", "block", "codes")
+    filled = pairs.join(codes.hint("merge"), "node").select("bucket", "low", "high", "node", "label", "block", "codes")
     grouped = filled.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +281,8 @@ def _within_buckets(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """Which pairs (a, b) align; a is the member many others are compared with."""
-    left = pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("b_codes")), "b")
-    both = left.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("a_codes")), "a")
+    left = pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("b_codes")).hint("merge"), "b")
+    both = left.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("a_codes")).hint("merge"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, run, order = None, None, None
@@ -300,26 +300,28 @@ def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 def _classified(signed: DataFrame) -> DataFrame:
     """Key of the words and smallest id of the class (label) for every node of ``signed``."""
+    # What grows with the corpus is joined by shuffling at every size, never broadcast because it
+    # happens to be small still: hence the merge hints.
     # One node per distinct sequence of words, named by its first row.
     nodes = stored(signed.groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low_id")), "nodes")
 
-    firsts = signed.select(F.col("row").alias("node"), "n", "buckets", "runs").join(nodes.select("node"), "node")
+    firsts = signed.select(F.col("row").alias("node"), "n", "buckets", "runs").join(nodes.select("node").hint("merge"), "node")
     spread = firsts.select("node", "n", F.explode("buckets").alias("bucket"))
     spread = stored(spread.unionByName(_short_buckets(firsts)), "spread")
     shared = stored(
         spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "shared"
     )
-    members = stored(spread.join(shared, "bucket"), "members")
+    members = stored(spread.join(shared.hint("merge"), "bucket"), "members")
 
     def fits(a: str, b: str) -> Column:  # lengths alone rule out a similarity of 0.8
         return F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
     heads = members.where("node = first").select("bucket", F.col("n").alias("a_n"))
-    pairs = members.where("node != first").join(heads, "bucket").where(fits("a_n", "n"))
+    pairs = members.where("node != first").join(heads.hint("merge"), "bucket").where(fits("a_n", "n"))
     pairs = stored(pairs.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     # Word codes of all nodes that meet another in a bucket.
     meeting = stored(members.select("node").distinct(), "meeting")
-    codes = stored(signed.select(F.col("row").alias("node"), "codes").join(meeting, "node"), "codes")
+    codes = stored(signed.select(F.col("row").alias("node"), "codes").join(meeting.hint("merge"), "node"), "codes")
 
     links = stored(_verified(pairs, codes).where("linked").select("a", "b"), "links")
     labels = components(links)
