@@ -2,9 +2,11 @@
 
 The bounds of all periods cut the days into elementary intervals. Facts are read once and
 reduced to (user, page, interval); no request looks at them again. Sums come from three small
-cubes of these rows (by interval alone, by position, by user asked for), users from bitmaps
-per interval, combined per request. The work after the reduction grows with the requests and
-the intervals they cover, not with the facts.
+cubes of these rows (by interval alone, by position, by user asked for). A user counts in the
+first interval of a period that shows him, so a fourth cube of intervals and the ones before
+that showed the same users tells the unique users of any period. Equal questions are answered
+once. The work after the reduction grows with the different questions and the intervals they
+cover, neither with the facts nor with the users.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql.window import Window
 from boardpulse.functions.calendar import Period
 from boardpulse.functions.numbers import ratio, variation
 from boardpulse.operators.links import url_types, url_weights
-from boardpulse.operators.presence import bitmaps
 from boardpulse.operators.scope import is_admin
 from boardpulse.session import pin
 from boardpulse.sources.tables import Tables
@@ -46,11 +47,11 @@ def base_kpis_of(tables: Tables, requests: DataFrame, as_of: date) -> DataFrame:
     while the plan is built: the requests and the reduced facts are pinned.
     """
     spans = pin(_spans(requests, as_of))
-    return _assembled(requests, spans, _answers(tables, spans))
+    return _assembled(requests, spans, _answers(tables, spans.select("span", "span.*").distinct()))
 
 
 def _spans(requests: DataFrame, as_of: date) -> DataFrame:
-    """Two rows per request: its period and the one before, numbered ``span``."""
+    """Two rows per request: its period and the one before, with the question asked of it (``span``)."""
     end = F.coalesce("end_date", F.lit(as_of))
     start = F.coalesce(F.col("start_date"), F.date_sub(end, Period.DEFAULT_REACH))
     days = F.datediff("end", "start") + 1
@@ -62,8 +63,9 @@ def _spans(requests: DataFrame, as_of: date) -> DataFrame:
         F.struct(F.lit("cur").alias("period"), F.col("start").alias("low"), F.col("end").alias("high")),
         F.struct(F.lit("prev").alias("period"), F.date_sub("start", days).alias("low"), F.date_sub("start", 1).alias("high")),
     )
-    every = dated.withColumn("p", F.explode(periods)).drop("start", "end").select("*", "p.*").drop("p")
-    return every.where("low <= high").withColumn("span", F.struct("request_id", "period"))
+    every = dated.withColumn("p", F.explode(periods)).select("*", "p.*").where("low <= high")
+    asked = F.struct("low", "high", "position_id", "dashboard_name", "asked_user", "exclude_admins")
+    return every.groupBy("request_id", "period", asked.alias("span")).agg(F.count("*").alias("copies"))
 
 
 def _intervals(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,8 +88,10 @@ def _answers(tables: Tables, spans: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum("duration_minutes").alias("minutes"))
     )
     weighed = pin(_weighed(tables, reduced, spans.select("dashboard_name").distinct()))
-    asked = spans.join(parts, "span").select("span", "interval", "position_id", "dashboard_name", "asked_user", "exclude_admins")
-    return _sums(tables, weighed, asked).unionByName(_users(tables, weighed, asked))
+    asked = parts.select("span", "interval", "span.*").drop("high")
+    held = _held(tables, asked)
+    answers = _sums(weighed, held, asked).unionByName(_users(weighed, held, asked))
+    return answers.groupBy("span").agg(*[F.sum(name).alias(name) for name in ("n", "minutes", "users")])
 
 
 def _weighed(tables: Tables, reduced: DataFrame, names: DataFrame) -> DataFrame:
@@ -111,10 +115,14 @@ def _weighed(tables: Tables, reduced: DataFrame, names: DataFrame) -> DataFrame:
     return merged.join(admins, F.col("user_id") == F.col("_admin"), "left").select(*merged.columns, hidden.alias("hidden"))
 
 
-def _sums(tables: Tables, weighed: DataFrame, asked: DataFrame) -> DataFrame:
+def _held(tables: Tables, asked: DataFrame) -> DataFrame:
+    """Holders of the positions asked for."""
     held = tables.user_positions.select(F.col("user_id").alias("_holder"), F.col("position_id").alias("_position")).distinct()
     wanted = asked.select(F.col("position_id").alias("_wanted")).distinct()
-    held = held.join(wanted, F.col("_position") == F.col("_wanted"), "left_semi")
+    return held.join(wanted, F.col("_position") == F.col("_wanted"), "left_semi")
+
+
+def _sums(weighed: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
     total = [F.sum("n").alias("n"), F.sum("minutes").alias("minutes")]
     by = ["dashboard_name", "hidden", "interval"]
     plain = weighed.groupBy(*by).agg(*total)
@@ -126,7 +134,8 @@ def _sums(tables: Tables, weighed: DataFrame, asked: DataFrame) -> DataFrame:
         cube = cube.select(*[F.col(name).alias(f"c_{name}") for name in cube.columns])
         on = (F.col("interval") == F.col("c_interval")) & F.col("dashboard_name").eqNullSafe(F.col("c_dashboard_name"))
         rows = requests.join(cube, on if key is None else on & key)
-        return rows.where(~(F.col("exclude_admins") & F.col("c_hidden"))).select("span", F.col("c_n").alias("n"), F.col("c_minutes").alias("minutes"))
+        rows = rows.where(~(F.col("exclude_admins") & F.col("c_hidden"))).groupBy("span")
+        return rows.agg(F.sum("c_n").alias("n"), F.sum("c_minutes").alias("minutes"), F.max((F.col("c_n") > 0).cast("long")).alias("users"))
 
     nobody, nowhere = F.col("asked_user").isNull(), F.col("position_id").isNull()
     here = held.select(F.col("_holder").alias("h_user"), F.col("_position").alias("h_position"))
@@ -136,32 +145,34 @@ def _sums(tables: Tables, weighed: DataFrame, asked: DataFrame) -> DataFrame:
     of_user = asked.where(~nobody & nowhere).unionByName(posted)
     rows = met(asked.where(nobody & nowhere), plain, None)
     rows = rows.unionByName(met(asked.where(nobody & ~nowhere), placed, F.col("position_id") == F.col("c__position")))
-    rows = rows.unionByName(met(of_user, single, F.col("asked_user") == F.col("c__user")))
-    return rows.select("span", "n", "minutes", F.lit(0).cast("long").alias("users"))
-
-
-def _users(tables: Tables, weighed: DataFrame, asked: DataFrame) -> DataFrame:
-    """Unique users: bitmaps of the intervals by OR, then AND with holders and with the user asked for."""
-    marks = bitmaps(weighed.where("n > 0"), "user_id", ("dashboard_name", "interval"))
-    marks = marks.select(F.col("dashboard_name").alias("_name"), F.col("interval").alias("_interval"), "bucket", "users")
-    here = (F.col("interval") == F.col("_interval")) & F.col("dashboard_name").eqNullSafe(F.col("_name"))
-    spans = ["span", "position_id", "asked_user", "exclude_admins"]
-    present = asked.join(marks, here).groupBy(*spans, "bucket").agg(F.bitmap_or_agg("users").alias("users"))
-    wanted = asked.select(*spans).distinct()
-    held = bitmaps(tables.user_positions.where("position_id IS NOT NULL"), "user_id", ("position_id",))
-    holders = wanted.join(held, "position_id").select(*spans, "bucket", "users")
-    alone = bitmaps(wanted.select("asked_user", F.col("asked_user").alias("_one")).distinct(), "_one", ("asked_user",))
-    single = wanted.join(alone, "asked_user").select(*spans, "bucket", "users")
-    sides = present.unionByName(holders).unionByName(single)
-    needed = 1 + F.col("position_id").isNotNull().cast("int") + F.col("asked_user").isNotNull().cast("int")
-    left = sides.groupBy(*spans, "bucket").agg(F.bitmap_and_agg("users").alias("users"), F.count("*").alias("sides")).where(F.col("sides") == needed)
-    admins = bitmaps(tables.users.where(is_admin(F.col("role"))), "id").select(F.col("bucket").alias("_bucket"), F.col("users").alias("_admins"))
-    gone = left.where("exclude_admins").join(admins, F.col("bucket") == F.col("_bucket"))
-    gone = gone.select("span", "bucket", F.explode(F.array("users", "_admins")).alias("users")).groupBy("span", "bucket")
-    counts = left.select("span", F.bitmap_count("users").alias("users")).unionByName(
-        gone.agg((-F.bitmap_count(F.bitmap_and_agg("users"))).alias("users")).select("span", "users")
-    )
-    return counts.select("span", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("minutes"), "users")
+    # A user asked for is one user or none; all others are counted apart.
+    rows = rows.withColumn("users", F.lit(0).cast("long"))
+    return rows.unionByName(met(of_user, single, F.col("asked_user") == F.col("c__user")))
+
+
+def _users(weighed: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+    """Unique users of all questions that ask for no single one.
+
+    A user's interval counts for the periods that begin after his interval before: numbers of
+    users by interval and earliest such beginning (null: any), added up to where a period begins.
+    """
+    marks = weighed.where("n > 0 AND user_id IS NOT NULL").select("dashboard_name", "user_id", "interval", "hidden").distinct()
+    before = F.lag("interval").over(Window.partitionBy("dashboard_name", "user_id").orderBy("interval"))
+    marks = marks.withColumn("low", F.date_add(before, 1))
+    by = ["position_id", "dashboard_name", "exclude_admins", "interval"]
+    nowhere = marks.withColumn("position_id", F.lit(None).cast("long"))
+    placed = marks.join(held, F.col("user_id") == F.col("_holder")).withColumn("position_id", F.col("_position"))
+    cube = nowhere.unionByName(placed.select(*nowhere.columns)).groupBy("position_id", "dashboard_name", "interval", "low", "hidden")
+    both = F.explode(F.when(F.col("hidden"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    steps = cube.agg(F.count("*").alias("here")).withColumn("exclude_admins", both)
+    nothing = F.lit(None).cast(asked.schema["span"].dataType)
+    points = asked.where("asked_user IS NULL").select("span", *by, "low", F.lit(0).cast("long").alias("here"))
+    rows = points.unionByName(steps.select(nothing.alias("span"), *by, "low", "here"))
+    # All rows of a window have one interval: at most as many as there are pairs of days around it.
+    reached = Window.partitionBy(*by).orderBy("low").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("users", F.sum("here").over(reached)).where("span IS NOT NULL AND users > 0")
+    zero = F.lit(0).cast("long")
+    return met.select("span", zero.alias("n"), zero.alias("minutes"), "users")
 
 
 def _assembled(requests: DataFrame, spans: DataFrame, answers: DataFrame) -> DataFrame:
@@ -170,7 +181,10 @@ def _assembled(requests: DataFrame, spans: DataFrame, answers: DataFrame) -> Dat
         there = F.col("period") == period
         for name, measure in zip(MEASURES, ("minutes", "n", "users")):
             columns.append(F.coalesce(F.sum(F.when(there, F.col(measure))), F.lit(0)).alias(f"{period}_{name}"))
-    summed = answers.select("span.*", "n", "minutes", "users").groupBy(F.col("request_id").alias("_id")).agg(*columns)
+    # Ids are unique; sessions and minutes of one that is repeated are met by each row and each period of it.
+    times = F.col("copies") * F.col("copies")
+    met = spans.join(answers, "span").withColumns({"n": F.col("n") * times, "minutes": F.col("minutes") * times})
+    summed = met.groupBy(F.col("request_id").alias("_id")).agg(*columns)
     names = [f"{period}_{name}" for period in ("cur", "prev") for name in MEASURES]
     full = requests.select("request_id").join(summed, F.col("request_id") == F.col("_id"), "left")
     full = full.select("request_id", *[F.coalesce(name, F.lit(0)).alias(name) for name in names])

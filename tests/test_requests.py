@@ -80,3 +80,31 @@ def test_no_requests_and_no_facts(spark, tables, make_tables):
     one = base_kpis_of(make_tables(), seed_rows(spark, [(1, None, None, 1, "Ventas", 2, True)], REQUESTS), AS_OF).first()
     assert [one[f"{p}_{name}"] for p in ("cur", "prev") for name in MEASURES] == [0] * 6
     assert one["avg_sessions_user"] is None
+
+
+def test_users_are_counted_without_one_bitmap_per_request(spark, make_tables):
+    days = [DAY + timedelta(days=n) for n in range(6)]
+    dice = random.Random(5)
+    # Users of many bitmap buckets, who come on several days or on one.
+    people = [n * 32_768 + 7 for n in range(12)]
+    seen = sorted({(user, dice.choice(["https://a", "https://b"]), dice.choice(days)) for user in people for _ in range(3)})
+    tables = make_tables(
+        users=[person(user, role="admin" if n % 4 == 0 else "user") for n, user in enumerate(people)],
+        positions=[(1, "P", True)],
+        user_positions=[(user, 1) for user in people[::2]],
+        types=[(1, "Ventas", None)],
+        links=[(1, 1, 1, "https://a")],
+        sessions=[session_row(n, user, page, day) for n, (user, page, day) in enumerate(seen)],
+    )
+    asked = [(low, high, place, board, None, admins) for low in days for high in days for place in (None, 1) for board in (None, "Ventas") for admins in (False, True)]
+    rows = [(n, *question) for n, question in enumerate(2 * asked)]
+    found = base_kpis_of(tables, seed_rows(spark, rows, REQUESTS), AS_OF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_" not in plan
+    holders, hidden = set(people[::2]), set(people[::4])
+
+    def users(low, high, place, board, _, admins):
+        there = {user for user, page, day in seen if low <= day <= high and (board is None or page == "https://a")}
+        return len((there & holders if place else there) - (hidden if admins else set()))
+
+    assert {r["request_id"]: r["cur_unique_users"] for r in found.collect()} == {n: users(*question) for n, *question in rows}
