@@ -127,11 +127,14 @@ def chunk_words(docs: DataFrame, lang_column: str = "lang", text_column: str = "
 
 def tiles(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of ranks below ``m`` as x * m + y, their counts, and each input pair's place among them."""
-    inverse = np.empty(len(x), np.int64)
+    # Narrow numbers throughout: a task's memory is a few times one of these arrays.
+    x, y = x.astype(np.int32, copy=False), y.astype(np.int32, copy=False)
+    inverse = np.empty(len(x), np.int32)
     codes, counts, taken = [], [], 0
     left = np.ones(len(x), bool)
     near = (x < GRID * TILE) & (y < GRID * TILE)
-    tile = np.where(near, (x // TILE) * GRID + y // TILE, -1)
+    tile = np.full(len(x), -1, np.int16)
+    tile[near] = (x[near] // TILE) * GRID + y[near] // TILE
     filled = np.bincount(tile[near], minlength=GRID * GRID) if near.any() else np.zeros(GRID * GRID, np.int64)
     for t in np.flatnonzero(filled >= TILE * TILE // FULL_ENOUGH).tolist():
         inside = tile == t
@@ -144,8 +147,19 @@ def tiles(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray,
         counts.append(dense[met])
         taken += len(met)
         left &= ~inside
-    sparse, places, times = np.unique(x[left] * m + y[left], return_inverse=True, return_counts=True)
-    inverse[left] = places + taken
+    del near, tile
+    # As np.unique with inverse and counts, which would hold three more arrays of this size.
+    sparse = x[left].astype(np.int64) * m
+    sparse += y[left]
+    order = np.argsort(sparse)
+    sparse = sparse[order]
+    first = np.ones(len(sparse), bool)
+    np.not_equal(sparse[1:], sparse[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    sparse, times = sparse[starts], np.diff(starts, append=len(order))
+    places = np.empty(len(order), np.int32)
+    places[order] = np.cumsum(first, dtype=np.int32) + np.int32(taken - 1)
+    inverse[left] = places
     return np.concatenate([*codes, sparse]), np.concatenate([*counts, times]), inverse
 
 
@@ -159,15 +173,17 @@ def _chunk_pairs(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray,
     ids, places = (known.field(name).to_numpy(zero_copy_only=False) for name in ("id", "place"))
     seq = _numbers(batch.column(2), k, np.int32)
     # Places of the chunk's list to ranks within the chunk; the last entry stands for -1.
-    rank = np.full(max(int(seq.max(initial=-1)), int(places.max(initial=-1))) + 2, -1, np.int64)
+    rank = np.full(max(int(seq.max(initial=-1)), int(places.max(initial=-1))) + 2, -1, np.int32)
     rank[places] = np.arange(len(places))
     ranked = rank[seq]
-    x, y = ranked[:-1], ranked[1:]
-    met = (x >= 0) & (y >= 0)
+    met = (ranked[:-1] >= 0) & (ranked[1:] >= 0)
     if not met.any():
         return None
-    codes, counts, inverse = tiles(x[met], y[met], len(ids))
-    following = np.full(len(x), -1, np.int32)
+    x, y = ranked[:-1][met], ranked[1:][met]
+    del ranked, rank
+    codes, counts, inverse = tiles(x, y, len(ids))
+    del x, y
+    following = np.full(len(met), -1, np.int32)
     following[met] = inverse
     return ids[codes // len(ids)], ids[codes % len(ids)], counts, following
 

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from boardpulse.llm.shared import kept
+
 # Of the segments remembered by one worker, at most.
 MOST_SEGMENTS = 500_000
 # Bytes of new segments that go to the library at once.
@@ -240,14 +242,11 @@ def _byte_letters() -> dict[int, str]:
     return {byte: chr(0x100 + place) for place, byte in enumerate(others)}
 
 
-_encoders: dict[tuple[str, bool], SegmentEncoder] = {}
-
-
 def encoder(name: str, with_ids: bool = True) -> SegmentEncoder:
-    """The encoder of this worker for a tokenizer file, loaded once."""
-    if (name, with_ids) not in _encoders:
-        _encoders[name, with_ids] = SegmentEncoder(tokenizer_path(name), with_ids)
-    return _encoders[name, with_ids]
+    """The encoder of this worker for a tokenizer file, loaded once and kept while it does the same work."""
+    if (name, with_ids) not in kept:
+        kept[name, with_ids] = SegmentEncoder(tokenizer_path(name), with_ids)
+    return kept[name, with_ids]
 
 
 def tokenizer_path(name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -51,12 +53,45 @@ def stored(frame: DataFrame, purpose: str, partitions: tuple[str, ...] = (), **o
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def in_arrow(
-    frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
+Work = Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]
+# Of this worker: whose tasks it ran last, and what they keep for the next ones.
+_owner: str | None = None
+kept: dict = {}
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine: workers outlive their tasks, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
+def in_turn(work: Work) -> Work:
+    """``work`` that leaves no free memory behind in its worker, nor what earlier tasks of other work kept there."""
+    name = f"{work.__module__}.{work.__qualname__}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By its name, so that it is this worker's module and no copy sent along with the function.
+        from boardpulse.llm import shared
+
+        if shared._owner != name:
+            shared.kept.clear()
+            gc.collect()
+            shared.give_back()
+            shared._owner = name
+        try:
+            yield from work(batches)
+        finally:
+            shared.give_back()
+
+    return run
+
+
+def in_arrow(frame: DataFrame, work: Work, schema: str) -> DataFrame:
     """``mapInArrow`` after the package was shipped."""
     ship(frame.sparkSession)
-    return frame.mapInArrow(work, schema)
+    return frame.mapInArrow(in_turn(work), schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

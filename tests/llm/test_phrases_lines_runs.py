@@ -190,6 +190,19 @@ def test_scores_beyond_64_bits(spark):
     assert row[0] == 1_000_000 * a * a // (l * r)
 
 
+def test_tiles_take_little_memory():
+    import tracemalloc
+
+    dice = np.random.default_rng(1)
+    ranks = np.minimum((dice.pareto(1.0, 1_000_001) * 50).astype(np.int64), 200_000)
+    tracemalloc.start()
+    codes, _, inverse = tiles(ranks[:-1], ranks[1:], 200_001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (codes[inverse] == ranks[:-1] * 200_001 + ranks[1:]).all()
+    assert peak < 51 * 1_000_000
+
+
 @pytest.mark.parametrize("ranks", [50, 3000, 40_000])
 def test_tiles_count_like_a_counter(monkeypatch, ranks):
     monkeypatch.setattr(collocations, "TILE", 64)  # several filled tiles, several sparse ones

@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from boardpulse.llm import packing
-from boardpulse.llm.segments import SegmentEncoder
+from boardpulse.llm.segments import SegmentEncoder, encoder
+from boardpulse.llm.shared import in_arrow
 from boardpulse.llm.token_counts import token_counts
 from boardpulse.llm.token_files import checksums, read_tokens, write_tokens
 from boardpulse.session import run_dir
@@ -131,3 +132,26 @@ def test_least_squares_reaches_an_exact_histogram():
         covered = sorted((r.low, r.high) for r in rows.itertuples())
         assert covered[0][0] == 0 and covered[-1][1] == histogram[length]
         assert all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+
+
+def test_a_worker_lets_go_of_what_other_work_kept(spark):
+    rows = spark.range(0, 3, 1, 1)
+
+    def held():
+        import gc
+
+        return sum(type(x).__name__ == "SegmentEncoder" for x in gc.get_objects())
+
+    def encode(batches):
+        for batch in batches:
+            encoder(WORD).encode(["some words"])
+            yield batch
+
+    def other(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([held()] * batch.num_rows, pa.int64())], names=["id"])
+
+    assert in_arrow(rows, encode, "id long").count() == 3
+    assert {r["id"] for r in in_arrow(rows, other, "id long").collect()} == {0}
