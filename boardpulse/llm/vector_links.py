@@ -15,12 +15,11 @@
    in no list: in cells of one component each, left out only where the cells' centres are
    too far apart for their radiuses. A list that is not saturated has no room to hide links.
 5. Audit: nodes are drawn by hash and their links counted against all nodes by brute force,
-   until ``ENOUGH`` nodes with few links and ``ENOUGH`` with more than a list were seen.
-   Recall is the mean over nodes, the two kinds apart. While either is below ``recall``,
-   new projections are added.
-6. Tables of at most ``exact_to`` nodes, tables for which a fourth of the nodes does not
-   settle the audit, and tables below ``recall`` after ``tries`` are compared exactly
-   instead, every block with every block; such work grows with the square of the table.
+   until ``ENOUGH`` nodes with few links and ``ENOUGH`` with more than a list were seen, or all
+   nodes. While any of them has less than ``recall`` of its links, new projections are added.
+6. Tables below ``recall`` after ``tries`` are checked exactly, every block with every block;
+   such work grows with the square of the table. The size of the table decides nothing; a
+   caller may ask for the exact check alone up to ``exact_to`` nodes.
 
 Cosines are in double precision. Defined results: a vector that cannot be compared links
 with nothing and is its own component, as are vectors whose length no other has; repeated
@@ -304,21 +303,22 @@ def _truth(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
     return in_arrow(nodes.select("node", "vector", "copies"), count, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, hot: int, n: int) -> float | None:
-    """Recall of ``found`` (node, n) per node, the lower one of nodes with at most and with more than ``hot`` links.
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, hot: int, n: int) -> float:
+    """Lowest recall of ``found`` (node, n) among the nodes asked, of which some have at most and some more than ``hot`` links.
 
-    None if a fourth of the nodes does not hold enough linked ones to tell.
+    Nodes are asked until there were enough of both kinds, all of them where there are not.
     """
     parts = max(1, -(-n // DRAWN))
-    seen: dict[bool, list[float]] = {False: [], True: []}
-    for part in range(-(-parts // 4)):
+    seen, lowest = {False: 0, True: 0}, 1.0
+    for part in range(parts):
         asked = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(parts)) == part)
         both = _truth(nodes, asked, threshold).where("truth > 0").join(found, "node", "left")
         for truth, have in both.select("truth", F.coalesce("n", F.lit(0))).collect():
-            seen[truth > hot].append(min(1.0, have / truth))
-        if all(len(kind) >= ENOUGH for kind in seen.values()):
-            return min(sum(kind) / len(kind) for kind in seen.values())
-    return None
+            seen[truth > hot] += 1
+            lowest = min(lowest, have / truth)
+        if all(many >= ENOUGH for many in seen.values()):
+            break
+    return lowest
 
 
 def link_vectors(
@@ -329,7 +329,7 @@ def link_vectors(
     recall: float = 0.99,
     rounds: int = 4,
     tries: int = 3,
-    exact_to: int = 100_000,
+    exact_to: int = 0,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -366,8 +366,8 @@ def link_vectors(
         labels = stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         found = stored(_component_links(nodes, labels, threshold), "found")
         reached = audit(nodes, found, threshold, k, n)
-        settled = reached is not None and reached >= recall
-        if settled or reached is None:
+        settled = reached >= recall
+        if settled:
             break
     if not settled:
         labels, found = _exact(nodes, threshold, n)

@@ -219,3 +219,15 @@ def test_registered_link_queries(spark):
     found = {r["doc_id"]: r["class_id"] for r in QUERIES["op1_order_minhash"](spark, sf).collect()}
     ids = [r["doc_id"] for r in docs]
     assert [found[i] for i in ids] == [ids[k] for k in brute_classes([r["text"] for r in docs])]
+
+
+def test_small_tables_are_answered_by_neighbour_lists(spark, monkeypatch):
+    dice = np.random.default_rng(8)
+    centres = dice.standard_normal((30, 16))
+    vectors = np.concatenate([centre + 0.1 * dice.standard_normal((1 + k % 7, 16)) for k, centre in enumerate(centres)])
+    monkeypatch.setattr(vector_links, "_exact", lambda *_: pytest.fail("compared all pairs instead"))
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    found = {r["vec_id"]: r["n_links"] for r in link_vectors(frame).collect()}
+    assert found == {n: int(row.sum()) - 1 for n, row in enumerate(linked)}
