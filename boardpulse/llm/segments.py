@@ -39,26 +39,14 @@ BATCH_BYTES = 1 << 20
 
 _ODD_SPACE = re.compile(r" (?!\S)")
 _WORD_SPACE = re.compile(r" (?=\S)")
-_STOP = re.compile(r"(?<=[^\W_])([,.])(?=\s|$)")
+# The look-behind comes after the stop, so that the search goes from stop to stop and not from letter to letter.
+_STOP = re.compile(r"[,.](?<=[^\W_][,.])(?=\s|$)")
 # Begins a segment that has no space before it.
 _BARE = "\0"
 # Stands between segments.
 _CUT = "\1"
 
 
-class _Rows(dict):
-    """Segment to row of the table; a new segment gets the next row and waits in ``queue``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.queue: list = []
-
-    def __missing__(self, segment: object) -> int:
-        row = self[segment] = len(self)
-        self.queue.append(segment)
-        return row
-
-
 def _kind(config: dict) -> str:
     normal, before = config.get("normalizer"), config.get("pre_tokenizer") or {}
     if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"):
@@ -96,7 +84,8 @@ class SegmentEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows = _Rows()
+        # One row per segment; the segments themselves stay in Arrow and never all become Python strings.
+        self.names = pa.array([], pa.large_string())
         self.flat = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -110,8 +99,8 @@ class SegmentEncoder:
             if self.lowers and "Σ" not in text and unicodedata.is_normalized("NFC", text):
                 small = text.lower()
                 text = small if unicodedata.is_normalized("NFC", small) else text
-            return _STOP.sub(_CUT + r"\1", text).replace("\n", _CUT).replace(" ", _CUT)
-        text = _BARE + _STOP.sub(" \0\\1", text)
+            return _STOP.sub(_CUT + r"\g<0>", text).replace("\n", _CUT).replace(" ", _CUT)
+        text = _BARE + _STOP.sub(" \0\\g<0>", text)
         return text.replace(" ", _CUT) if not _ODD_SPACE.search(text) else _WORD_SPACE.sub(_CUT, text)
 
     def _text(self, segment: str) -> str:
@@ -139,18 +128,21 @@ class SegmentEncoder:
             for found in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
                 yield found.ids if self.with_ids else range(len(found))
 
-    def _learn(self) -> None:
-        """Give ids to the segments that wait."""
-        queue = self.rows.queue
-        if not queue:
+    def _learn(self, new: pa.LargeStringArray) -> None:
+        """Give rows and ids to segments met for the first time."""
+        if not len(new):
             return
-        texts = list(map(self._text, queue))
+        segments = new.to_pylist()
+        texts = list(map(self._text, segments))
         ids: list = [None] * len(texts)
         rest = []
-        for place, segment in enumerate(queue):
+        merge = self.tokenizer.model.tokenize
+        for place, segment in enumerate(segments):
             if self.with_ids and segment.isalpha() and self._is_normal(segment):  # one word: straight to the merges
-                word = texts[place].encode().decode("latin-1").translate(self.letters)
-                ids[place] = [token.id for token in self.tokenizer.model.tokenize(word)]
+                word = texts[place]
+                if not (word.isascii() and word.isalpha()):  # such letters stand for themselves
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                ids[place] = [token.id for token in merge(word)]
             else:
                 rest.append(place)
         for place, found in zip(rest, self._by_library([texts[place] for place in rest])):
@@ -162,22 +154,20 @@ class SegmentEncoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.starts = np.concatenate([self.starts, begin + np.cumsum(lengths) - lengths])
         self.uses = np.concatenate([self.uses, np.zeros(len(ids), np.int64)])
-        queue.clear()
+        self.names = pa.concat_arrays([self.names, new])
 
     def _trim(self) -> None:
         """Beyond ``most`` segments keep those used most often, half as many at most."""
-        if len(self.rows) <= self.most:
+        if len(self.names) <= self.most:
             return
         keep = np.flatnonzero(self.uses >= 2)
         if len(keep) > self.most // 2:
             keep = np.sort(keep[np.argsort(self.uses[keep], kind="stable")[-(self.most // 2) :]])
-        names, rows = list(self.rows), _Rows()
-        for row in keep.tolist():
-            dict.__setitem__(rows, names[row], len(rows))
+        names = self.names.take(pa.array(keep))
         flat = self._gather(keep)[0] if self.with_ids else self.flat
         uses, lengths = self.uses[keep] // 2, self.lengths[keep]
         self._forget()
-        self.rows, self.flat, self.lengths, self.uses = rows, flat, lengths, uses
+        self.names, self.flat, self.lengths, self.uses = names, flat, lengths, uses
         self.starts = np.cumsum(lengths) - lengths
 
     def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +188,16 @@ class SegmentEncoder:
             cut.append(ready)
         segments = pc.split_pattern(pa.array(cut, pa.large_string()), _CUT)
         sizes = pc.fill_null(pc.list_value_length(segments), 0).to_numpy().astype(np.int64)
-        # Distinct segments of the batch are found in Arrow; only those are looked up here.
+        # Distinct segments of the batch are found and looked up in Arrow; only new ones come to Python.
         distinct = segments.flatten().dictionary_encode()
-        names = distinct.dictionary.to_pylist()
-        row_of = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))
-        self._learn()
+        found = pc.index_in(distinct.dictionary, value_set=self.names)
+        is_new = found.is_null()
+        row_of = found.fill_null(0).to_numpy().astype(np.int64)
+        row_of[is_new.to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(found.null_count)
+        self._learn(distinct.dictionary.filter(is_new))
         places = distinct.indices.to_numpy()
-        self.uses[row_of] += np.bincount(places, minlength=len(names))
-        return row_of[places] if len(names) else np.zeros(0, np.int64), sizes, whole
+        self.uses[row_of] += np.bincount(places, minlength=len(row_of))
+        return row_of[places] if len(row_of) else np.zeros(0, np.int64), sizes, whole
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and the number of ids of each text; null counts as empty."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -45,6 +46,20 @@ def test_segments_equal_whole_texts(library, name, most):
             assert counts.tolist() == lengths.count(texts).tolist() == [len(e) for e in expected]
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_a_known_segment_takes_little_memory(name):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(n).translate(letters) for n in range(50_000))
+    encoder = SegmentEncoder(public_tokenizers.path(name))
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        encoder.encode([text])
+        assert tracemalloc.get_traced_memory()[0] < 80 * 50_000
+    finally:
+        tracemalloc.stop()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([*"aB,. \n\t'_-1\u03a3\u00e9\u0301\u4e2d\0\x1c", "<|endoftext|>"]), max_size=40).map("".join))
 def test_any_text(text):
