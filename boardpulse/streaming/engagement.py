@@ -23,6 +23,8 @@ IDLE_SECONDS = 300
 # are joined in spans 64 days, 4,096 days (11 years) and 718 years wide.
 SPAN_SECONDS = 86_400
 SPAN_FACTOR, SPAN_LEVELS = 64, 3
+# A span this wide, with 1970 in its middle, holds every instant that 64-bit microseconds can tell.
+ALL_SECONDS = 2**45
 
 
 def _check(idle_seconds: int, tick_seconds: int) -> None:
@@ -254,7 +256,7 @@ def _stays(cells: DataFrame, gap_seconds: int) -> DataFrame:
         settled.append(joined.where(inner).select("user_id", "first", "last", "n"))
         level = joined.where(~inner).select("user_id", "first", "last", "n")
         width *= SPAN_FACTOR
-    every = _joined(level.withColumn("span", F.lit(0)), gap_seconds).select("user_id", "first", "last", "n")
+    every = _joined(level.withColumn("span", F.floor(seconds / ALL_SECONDS + 0.5)), gap_seconds).select("user_id", "first", "last", "n")
     for frame in settled:
         every = every.unionByName(frame)
     return every.select(
